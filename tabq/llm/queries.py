@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, mixing, quality
+from . import chat, exact, mixing, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact.op1_exact_dedup,
+    "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat": chat.op7_chat,
     "op8_quality": quality.op8_quality,
 }
