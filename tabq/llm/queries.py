@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, mixing, packing, quality, toxicity
+from . import chat, exact, mixing, neardup, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat": chat.op7_chat,
     "op8_quality": quality.op8_quality,
+    "op10_minhash": neardup.op10_minhash,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact.ORACLE,
