@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, mixing, neardup, packing, quality, toxicity
+from . import chat, exact, mixing, neardup, packing, quality, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
+    "op5_substrings": substrings.op5_substrings,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat": chat.op7_chat,
     "op8_quality": quality.op8_quality,
