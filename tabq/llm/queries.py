@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, mixing, neardup, packing, quality, substrings, toxicity
+from . import chat, exact, mixing, neardup, packing, quality, substrings, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact.op1_exact_dedup,
+    "op2_suffix_array": suffixes.op2_suffix_array,
     "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
     "op5_substrings": substrings.op5_substrings,
