@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from .common import text_of
 #: About how many bytes of text a block has, and how many hashes a bucket.
 BLOCK_BYTES = 4 << 20
 BUCKET_HASHES = 1 << 20
-MESSAGE = "bucket int, block int, payload binary"
+MESSAGE, REPLY = "bucket int, block int, payload binary", "block int, payload binary"
 
 
 def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -85,7 +86,7 @@ def shared(messages: DataFrame) -> DataFrame:
         out = [(b, h[a:e][hit[a:e]]) for b, a, e in zip(blocks, ends[:-1], ends[1:], strict=True) if hit[a:e].any()]
         return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "payload": pa.array([x[1].tobytes() for x in out], pa.binary())})
 
-    return messages.groupBy("bucket").applyInArrow(run, "block int, payload binary")
+    return messages.groupBy("bucket").applyInArrow(run, REPLY)
 
 
 def answers(docs: DataFrame, replies: DataFrame, run: Callable[[pa.RecordBatch, list[bytes]], pa.Table], schema: str) -> DataFrame:
@@ -108,3 +109,40 @@ def is_in(values: np.ndarray, found: np.ndarray) -> np.ndarray:
         return np.zeros(len(values), bool)
     at = np.minimum(np.searchsorted(found, values), len(found) - 1)
     return found[at] == values
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of any lengths and types, compressed; :func:`unpacked` gives them back."""
+    parts = [np.array([len(a) for a in arrays], np.int64).tobytes()]
+    for a in arrays:  # bytes of one weight together compress better
+        parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"")
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpacked(payload: bytes, *types: type) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    counts, at, out = np.frombuffer(raw, np.int64, len(types)), 8 * len(types), []
+    for n, t in zip(counts, types, strict=True):
+        wide = np.dtype(t).itemsize
+        a = np.frombuffer(raw, np.uint8, int(n) * wide, at)
+        out.append(np.ascontiguousarray(a.reshape(wide, n).T).reshape(-1).view(t) if n else np.zeros(0, t))
+        at += int(n) * wide
+    return out
+
+
+def sent(bucket: np.ndarray, buckets: int, block: int, pack: Callable[[int, int], bytes]) -> pa.Table:
+    """Messages to the buckets; ``bucket`` is sorted and ``pack`` packs a range of it."""
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(cuts))
+    return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array(np.full(len(used), block), pa.int32()), "payload": pa.array([pack(int(cuts[b]), int(cuts[b + 1])) for b in used], pa.binary())})
+
+
+def replied(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def gaps(rising: np.ndarray) -> np.ndarray:
+    """A rising array's first value and differences, which compress well; its ``cumsum`` is the array again."""
+    out = rising.copy()
+    out[1:] -= rising[:-1]
+    return out

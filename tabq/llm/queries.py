@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, mixing, neardup, packing, quality, substrings, suffixes, toxicity
+from . import chat, exact, lm, mixing, neardup, packing, quality, substrings, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat": chat.op7_chat,
     "op8_quality": quality.op8_quality,
+    "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_minhash": neardup.op10_minhash,
 }
 ORACLES: dict[str, str] = {

@@ -9,15 +9,13 @@ shows which windows are equal and which document is the first to have them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import MESSAGE, answers, bucket_of, buckets_for, in_blocks, is_in, ordered
+from .blocks import MESSAGE, REPLY, answers, bucket_of, buckets_for, gaps, in_blocks, is_in, ordered, packed, replied, sent, unpacked
 from .common import table
 from .hashing import between, buffers, mix, ranges, rolled
 from .suffix import suffix_ranks
@@ -103,35 +101,6 @@ class Block:
         return f.pick(~is_hot) + self.single_windows(f.pick(is_hot)) if is_hot.any() else f
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    parts = [np.array([len(a) for a in arrays], np.int64).tobytes()]
-    for a in arrays:  # bytes of one weight together compress better
-        parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def _unpacked(payload: bytes, *types: type) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(payload)
-    counts, at, out = np.frombuffer(raw, np.int64, len(types)), 8 * len(types), []
-    for n, t in zip(counts, types, strict=True):
-        wide = np.dtype(t).itemsize
-        a = np.frombuffer(raw, np.uint8, int(n) * wide, at)
-        out.append(np.ascontiguousarray(a.reshape(wide, n).T).reshape(-1).view(t) if n else np.zeros(0, t))
-        at += int(n) * wide
-    return out
-
-
-def _sent(bucket: np.ndarray, buckets: int, block: int, pack) -> pa.Table:
-    """Messages to the buckets; ``bucket`` is sorted and ``pack`` packs a range of it."""
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    used = np.flatnonzero(np.diff(cuts))
-    return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array(np.full(len(used), block), pa.int32()), "payload": pa.array([pack(int(cuts[b]), int(cuts[b + 1])) for b in used], pa.binary())})
-
-
-def _replied(rows: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
-
-
 def firsts(bytes_: np.ndarray, length: np.ndarray, windows: np.ndarray, doc: np.ndarray, group: np.ndarray) -> np.ndarray:
     """For every window of these fragments, the smallest document that has it in a fragment of the same group.
 
@@ -201,17 +170,16 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         heads = np.flatnonzero(new)
         n = np.minimum(np.add.reduceat(more.astype(np.int64), heads), 255) if len(heads) else heads
         a = a[heads]
-        gaps = a.copy()
+
         def pack(x: int, y: int) -> bytes:
-            part = gaps[x:y].copy()
-            part[1:] -= gaps[x : y - 1]
-            return _packed(part, n[x:y].astype(np.uint8))
-        return _sent(bucket_of(a, n_anchors), n_anchors, key[0].as_py(), pack)
+            return packed(gaps(a[x:y]), n[x:y].astype(np.uint8))
+
+        return sent(bucket_of(a, n_anchors), n_anchors, key[0].as_py(), pack)
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         """Answers each block with its anchors that several documents have, and those of them that are hot."""
         owner = rows.column("block").to_pylist()
-        got = [_unpacked(p, np.uint64, np.uint8) for p in rows.column("payload").to_pylist()]
+        got = [unpacked(p, np.uint64, np.uint8) for p in rows.column("payload").to_pylist()]
         each = [np.cumsum(g[0], dtype=np.uint64) for g in got]
         h, inverse = np.unique(np.concatenate(each), return_inverse=True)
         n = np.bincount(inverse, weights=np.concatenate([g[1] for g in got]).astype(float))
@@ -220,12 +188,12 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         for b, x, a, e in zip(owner, each, cuts[:-1], cuts[1:], strict=True):
             mine = n[inverse[a:e]]
             if (mine > 1).any():
-                out.append((b, _packed(x[mine > 1], x[mine >= HOT])))
-        return _replied(out)
+                out.append((b, packed(x[mine > 1], x[mine >= HOT])))
+        return replied(out)
 
     def send(block: int, rows: pa.RecordBatch, payloads: list[bytes]) -> pa.Table:
         """The different fragments around these anchors, each with the smallest document that has it."""
-        got = [_unpacked(p, np.uint64, np.uint64) for p in payloads]
+        got = [unpacked(p, np.uint64, np.uint64) for p in [*payloads, packed(*[np.zeros(0, np.uint64)] * 2)]]
         held, hot = np.sort(np.concatenate([g[0] for g in got])), np.sort(np.concatenate([g[1] for g in got]))
         here = Block(rows)
         f = here.fragments()
@@ -235,25 +203,26 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         new = np.ones(len(f.key), bool)
         new[1:] = (f.key[1:] != f.key[:-1]) | (f.group[1:] != f.group[:-1])
         f = f.pick(new)
+
         def pack(x: int, y: int) -> bytes:
             n = f.last[x:y] - f.start[x:y] + WINDOW
-            mine = hot[bucket_of(hot, n_fragments) == bucket_of(f.group[x : x + 1], n_fragments)[0]] if len(hot) else hot
-            return _packed(f.group[x:y], f.key[x:y], f.doc[x:y], n.astype(np.uint8), here.data[ranges(f.start[x:y], n)], mine)
-        out = _sent(bucket_of(f.group, n_fragments), n_fragments, block, pack)
+            return packed(f.group[x:y], f.key[x:y], f.doc[x:y], n.astype(np.uint8), here.data[ranges(f.start[x:y], n)], hot[:0])
+
+        out = sent(bucket_of(f.group, n_fragments), n_fragments, block, pack)
         if len(hot):  # to itself, by way of any bucket: what it has to cut into windows again
             kind = np.zeros(0, np.uint64)
-            note = _packed(kind, kind, kind, np.zeros(0, np.uint8), np.zeros(0, np.uint8), hot)
+            note = packed(kind, kind, kind, np.zeros(0, np.uint8), np.zeros(0, np.uint8), hot)
             out = pa.concat_tables([out, pa.table({"bucket": pa.array([block % n_fragments], pa.int32()), "block": pa.array([block], pa.int32()), "payload": pa.array([note], pa.binary())})])
         return out
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         """Answers each block with those of its fragments of which a window is found in an earlier document than it sent."""
         owner = rows.column("block").to_pylist()
-        got = [_unpacked(p, np.uint64, np.uint64, np.int64, np.uint8, np.uint8, np.uint64) for p in rows.column("payload").to_pylist()]
-        out = [(b, _packed(g[0], g[2], g[3], g[5])) for b, g in zip(owner, got, strict=True) if not len(g[0])]
+        got = [unpacked(p, np.uint64, np.uint64, np.int64, np.uint8, np.uint8, np.uint64) for p in rows.column("payload").to_pylist()]
+        out = [(b, packed(g[0], g[2], g[3], g[5])) for b, g in zip(owner, got, strict=True) if not len(g[0])]
         pair = [(b, g) for b, g in zip(owner, got, strict=True) if len(g[0])]
         if not pair:
-            return _replied(out)
+            return replied(out)
         group, fkey, doc, n = (np.concatenate([g[i] for _, g in pair]) for i in range(4))
         n = n.astype(np.int64)
         data = np.concatenate([g[4] for _, g in pair])
@@ -273,12 +242,12 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             mine = np.arange(a, e)[lowest[number[a:e]] < doc[a:e]]
             if len(mine):
                 k = number[mine]
-                out.append((b, _packed(fkey[mine], least[ranges(first_window[k], windows[k])], windows[k].astype(np.uint8), np.zeros(0, np.uint64))))
-        return _replied(out)
+                out.append((b, packed(fkey[mine], least[ranges(first_window[k], windows[k])], windows[k].astype(np.uint8), np.zeros(0, np.uint64))))
+        return replied(out)
 
     def remove(block: int, rows: pa.RecordBatch, payloads: list[bytes]) -> pa.Table:
         here = Block(rows)
-        got = [_unpacked(p, np.uint64, np.int64, np.uint8, np.uint64) for p in payloads]
+        got = [unpacked(p, np.uint64, np.int64, np.uint8, np.uint64) for p in payloads]
         hot = np.unique(np.concatenate([g[3] for g in got])) if got else np.zeros(0, np.uint64)
         f = here.split_hot(here.fragments(), hot)
         windows = f.last - f.start + 1
@@ -319,10 +288,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             "n_spans": pa.array(np.diff(spans[o]), pa.int64()), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), "kept": pa.array(texts, pa.binary()),
         })
 
-    reply = "block int, payload binary"
-    held = blocks.groupBy("block").applyInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(count, reply)
-    found = answers(blocks, held, lambda b, r, p: send(b, r, p) if p else pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())}), MESSAGE)
-    return answers(blocks, found.groupBy("bucket").applyInArrow(compare, reply), remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    held = blocks.groupBy("block").applyInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(count, REPLY)
+    found = answers(blocks, held, send, MESSAGE)
+    return answers(blocks, found.groupBy("bucket").applyInArrow(compare, REPLY), remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
