@@ -6,6 +6,8 @@ level are all that the choice looks at. Tasks pack their own rows; nothing is sh
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -105,9 +107,25 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_str(vocabulary), most, {}
+        mark = json.loads(vocabulary)["model"].get("end_of_word_suffix")
+        pieces = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)
+        self.ends[[i for p, i in pieces.items() if mark and p.endswith(mark)]] = True
 
     def _encoded(self, chunks: list[str]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
+        """Words of letters alone are one piece each, with a token that ends a word last: they are encoded many at a time."""
+        plain = [c for c in chunks if c.isalpha()]
+        lines = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        alone = [c for c in chunks if not c.isalpha()]
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(line):
+                raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+                self.known.update(zip(line, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:
+                alone += line
+        for c, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
             self.known[c] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -117,18 +135,27 @@ class WordCache:
         # Python also splits at four control characters that are no white space to the tokenizer.
         odd = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
         split = [[t] if i in odd else t.split() for i, t in enumerate(texts)]
-        missing = set().union(*split).difference(known)
-        # A word and one mark after it are two pieces to the tokenizer: the word alone is found more often.
-        marked = [c for c in missing if c[-1:] in (".", ",") and c[:-1].isalpha()]
-        plain = missing.difference(marked)
-        plain.update(c[:-1] for c in marked)
-        plain.update(".,")
-        self._encoded([c for c in plain if c not in known])
-        for c in marked:
-            known[c] = known[c[:-1]] + known[c[-1]]
+        parts = {c: _parts(c) for c in set().union(*split).difference(known)}
+        self._encoded(list({p for c in parts for p in parts[c]}.difference(known)))
+        for c, p in parts.items():
+            known[c] = known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
 
+_MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")
+
+
+def _parts(chunk: str) -> tuple[str, ...]:
+    """What the tokenizer takes apart anyway: a word, in lower case, and the ASCII marks after it. So more is found again."""
+    m = _MARKED.fullmatch(chunk)
+    word = m[1] if m else chunk
+    if not word.isalpha():
+        return (chunk,)
+    if "\u03a3" not in word and "\u0130" not in word:  # the two letters whose lower case depends on the program
+        word = word.lower()
+    return (word, m[2]) if m else (word,)
+
+
 _caches: dict[int, WordCache] = {}
 
 
