@@ -163,9 +163,9 @@ def _binary(e: Binary, scope: Scope) -> Typed:
         made = lambda: span.to(t.DURATION) * by() if op == "*" else span.to(t.DURATION) / F.nullif(by(), F.lit(0.0))
         return _like(a, t.DURATION, lambda k: t.converted(made(), t.DURATION, k), b)
     kind = t.combined(x, a.literal, y, b.literal)
-    if op == "%" and kind != t.INT:
+    if op == "%" and not x == y == kind == t.INT:
         raise QueryError("% needs integers")
-    if op in "*/^" and kind not in _NUMBERS:
+    if op in "*/" and not {x, y} <= set(_NUMBERS) or op == "^" and kind not in _NUMBERS:
         raise QueryError(f"{op} needs numbers, not {t.NAMES[x]} and {t.NAMES[y]}")
     if op in "+-" and kind not in (*_NUMBERS, t.STRING):
         raise QueryError(f"{op} cannot take {t.NAMES[x]} and {t.NAMES[y]}")

@@ -68,6 +68,8 @@ def parse_duration(text: str) -> timedelta | None:
 
 def parse_date(text: str) -> datetime | None:
     text = re.sub(r"(\d{2}:\d{2}:\d{2})\.\d+$", r"\1", text.strip())
+    if re.fullmatch(r"[12]\d{3}", text):  # a year alone, against a date
+        return datetime(int(text), 1, 1)
     for d, _ in _DATES:
         for t, _ in _TIMES:
             try:
