@@ -24,10 +24,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
-    gone = exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumn("__sha256", F.sha2(text_of(docs), 256))
-    same = (keyed["__sha256"] == gone["__sha"]) & keyed["doc_id"].eqNullSafe(gone["__id"])
-    return keyed.join(gone, same, "left_anti").select(*docs.columns)
+    gone = exact_dedup(docs).where("NOT kept").select("doc_id", "text_sha256").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.sha2(text_of(docs), 256).alias("sha256"))
+    same = (keyed["sha256"] == gone["text_sha256"]) & keyed["row.doc_id"].eqNullSafe(gone["doc_id"])
+    return keyed.join(gone, same, "left_anti").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,14 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_root(spark)}/tabq-{kind}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Python see 1,000 rows at a time, unless the session says otherwise: texts are long, and a batch is held several
+    times over, in the executor and in its worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -101,12 +101,11 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share
     """``docs`` with each row as often as the mix takes it (0, 1, 2 ... times), columns unchanged.
 
     A null text has size 0, a null source is a source of its own that comes last, null ids are drawn together. Documents
-    without words are in a source's whole repetitions. Empty input gives empty output. Extra columns pass through; names
-    that start with two underscores are the operator's own.
+    without words are in a source's whole repetitions. Empty input gives empty output. Extra columns pass through.
     """
     mix = plan_mix(sizes_of(docs), cycled(weights), share, epochs, seed)
-    held = mix.repeats(docs)
-    return held.where("__repeats > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*docs.columns)
+    held = mix.repeats(docs.select("doc_id", "source", F.struct("*").alias("__row"))).where("__repeats > 0")
+    return held.select("__row", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select("__row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

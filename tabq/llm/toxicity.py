@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import cut, small_batches, table, text_of
 
 _WORDS = re.compile(r"[^\W\d_]+")
 FOLDS = 5
@@ -151,8 +151,10 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``p_<category>`` for each category and ``rejected`` (``p_toxic`` of ``threshold`` or more).
 
     Every row is scored on its whole text, null as empty; a text without known features gets the models' base rate. Row
-    by row: repeated rows get equal results, no rows give none; other columns pass through.
+    by row: repeated rows get equal results, no rows give none; other columns pass through, but those of the results' names
+    are replaced.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(chain)  # at most 150 features a category
 
     @F.pandas_udf("array<double>")
@@ -162,8 +164,9 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
             out += list(sent.value.predict(texts.iloc[at : at + 512].tolist()))
         return pd.Series(out, dtype=object)
 
-    held = docs.withColumn("__p", probabilities(text_of(docs)))
-    held = held.withColumns({f"p_{k}": F.col("__p")[i] for i, k in enumerate(chain.names)}).drop("__p")
+    name = "__p" + "_" * max(map(len, docs.columns))  # no column has that name
+    held = docs.withColumn(name, probabilities(text_of(docs)))
+    held = held.withColumns({f"p_{k}": F.col(name)[i] for i, k in enumerate(chain.names)}).drop(name)
     return held.withColumn("rejected", F.col("p_toxic") >= threshold)
 
 
