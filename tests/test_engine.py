@@ -66,7 +66,7 @@ def test_comparisons_with_null(spark, form):
 def test_worked_examples(spark):
     e = Engine(spark)
     e.register("one", spark.createDataFrame([(10, 3, 2, 7.0)], "a int, b int, c int, f double"))
-    got = e.sql("select a-b-c 100/a/c c*b^c c^b*c -c^c a/b f/c a/0 5+'x' 'd'+'7' week('1/7/2024') day('6/2/2024') '1 year' from one").first()
+    got = e.sql("select a-b-c, 100/a/c, c*b^c, c^b*c, -c^c, a/b, f/c, a/0, 5+'x' 'd'+'7' week('1/7/2024') day('6/2/2024') '1 year' from one").first()
     assert list(got[:8]) == [9, 20, 18, 64, 4, 3, 3.5, None]
     assert got[8:12] == ("5x", "d7", 1, 0)
     assert got[12].days == 364
