@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that :func:`cut` has made needless: it does when the driver collects garbage, which
+    a job of many rounds would otherwise not come to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
     return f"{checkpoint_root(spark)}/tabq-{kind}-{uuid.uuid4().hex}"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, table
+from .common import cut, join_small, small_batches, table
 from .graph import components
 from .hashing import mix, owners, ranges, slices, words
 
@@ -179,6 +179,20 @@ def links_within(nodes: list[int], sets: list[np.ndarray], percent: int) -> list
     return out
 
 
+def links_to(nodes: list[int], sets: list[np.ndarray], asks: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between ``asks`` and the block's nodes, as many as give the components of all such links: fewer than there
+    are nodes, though one set may be similar to all of a block."""
+    index, main, out = Sets(sets), np.arange(len(nodes)), []
+    for x, s in asks:
+        held = index.linked(s, percent)
+        if len(held):
+            roots = np.unique(main[held])
+            out.append((x, nodes[int(roots[0])]))
+            out += [(x, nodes[int(r)]) for r in roots[1:]]
+            main[np.isin(main, roots)] = roots[0]
+    return out
+
+
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray], Iterator[tuple[int, np.ndarray]]]]:
     """Rows ``cluster, block, asks, node, shingles`` in that order: a block's nodes and sets, then those to ask for."""
     rows = ((c, k, q, n, np.frombuffer(s, np.uint64)) for b in batches for c, k, q, n, s in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True))
@@ -213,8 +227,7 @@ def exact_links(members: DataFrame, percent: int) -> DataFrame:
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for nodes, sets, asks in _by_block(batches):
                 if asks:
-                    index = Sets(sets)
-                    out = [(x, nodes[j]) for x, s in asks for j in index.linked(s, percent)]
+                    out = links_to(nodes, sets, asks, percent)
                 else:
                     out = links_within(nodes, sets, percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
@@ -258,6 +271,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reached, ``kept`` says whether that is the document itself. Equal sets are one node from the start. Rows that repeat an id
     are one document; rows with a null id are linked with nothing and kept. Other columns play no part, no rows give none.
     """
+    small_batches(docs.sparkSession)
     all_ = cut(described(docs, shingle))
     full = all_.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
