@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_of
+from .common import small_batches, table, text_of
 
 Piece = tuple[int, int, bytes, int]  # doc_id, start, ids (little-endian, 4 bytes each), tokens of the whole document
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -100,13 +100,13 @@ class LevelPacker:
 class WordCache:
     """Token ids by white-space separated chunk, as bytes. The vocabulary drops white space and no token crosses it.
 
-    A cache of over ``most`` chunks is emptied; results do not depend on it.
+    Over ``most`` chunks become the old ones, of which those that come again are kept; results do not depend on it.
     """
 
-    def __init__(self, vocabulary: str, most: int = 1_000_000):
+    def __init__(self, vocabulary: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_str(vocabulary), most, {}
+        self.tokenizer, self.most, self.known, self.old = Tokenizer.from_str(vocabulary), most, {}, {}
         mark = json.loads(vocabulary)["model"].get("end_of_word_suffix")
         pieces = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
@@ -129,14 +129,18 @@ class WordCache:
             self.known[c] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
+        if len(self.known) > self.most:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         # Python also splits at four control characters that are no white space to the tokenizer.
         odd = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
         split = [[t] if i in odd else t.split() for i, t in enumerate(texts)]
-        parts = {c: _parts(c) for c in set().union(*split).difference(known)}
-        self._encoded(list({p for c in parts for p in parts[c]}.difference(known)))
+        missing = set().union(*split).difference(known)
+        known.update((c, old[c]) for c in missing & old.keys())
+        parts = {c: _parts(c) for c in missing.difference(old)}
+        pieces = {p for c in parts for p in parts[c]}.difference(known)
+        known.update((c, old[c]) for c in pieces & old.keys())
+        self._encoded(list(pieces.difference(old)))
         for c, p in parts.items():
             known[c] = known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]
         return [b"".join(map(known.__getitem__, s)) for s in split]
@@ -167,6 +171,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 2, id
     or a power of two long. ``sequence_id`` is made of the task's number and a count, so a task that runs again gives
     the same. Repeated rows and null ids are packed like others. Other columns play no part. No rows, no pieces.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
