@@ -22,7 +22,7 @@ from .hashing import mix, owners, words
 MIN_COUNT = 3
 #: Weight, in words, of the next simpler model: bigrams fall back to single words, words to :data:`FLOOR`.
 BACKOFF, FLOOR_WEIGHT, FLOOR = 8.0, 1.0, 1e-6
-_UNKNOWN, _BEGIN, _ALL = (np.uint64(x) for x in (1, 2, 3))
+_UNKNOWN, _BEGIN = np.uint64(1), np.uint64(2)
 
 
 def _entries(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -36,7 +36,8 @@ def _message(block: int, h: np.ndarray, n: np.ndarray, t: np.ndarray, buckets: i
 
 
 def _totals(kind: int, least: int):
-    """Adds up every hash of a bucket and answers each block with the totals of its own that come ``least`` times or more."""
+    """Adds up every hash of a bucket and answers each block with the totals of its own: of words, those that come ``least``
+    times or more, with their hashes; of pairs all, in the order in which the block has sent them."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         owner = rows.column("block").to_pylist()
@@ -47,6 +48,9 @@ def _totals(kind: int, least: int):
         cuts, out = np.cumsum([0, *[len(x) for x in each]]), []
         for b, x, a, e in zip(owner, each, cuts[:-1], cuts[1:], strict=True):
             mine = inverse[a:e]
+            if kind == 2:
+                out.append((b, bytes([kind]) + packed(np.array([key[0].as_py()]), n[mine], t[mine])))
+                continue
             hit = n[mine] >= least
             out.append((b, bytes([kind]) + packed(gaps(x[hit]), n[mine[hit]], t[mine[hit]])))
         return replied(out)
@@ -54,8 +58,19 @@ def _totals(kind: int, least: int):
     return run
 
 
-def _read(payloads: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    got = [unpacked(p[1:], np.uint64, np.int64, np.int64) for p in payloads if p[0] == kind]
+def _filled(payloads: list[bytes], h: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """The totals of a block's pairs, which are ``h``."""
+    out = [np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)]
+    cuts = np.searchsorted(bucket_of(h << np.uint64(16), buckets), np.arange(buckets + 1))
+    for p in payloads:
+        if p[0] == 2:
+            at, n, t = unpacked(p[1:], np.int64, np.int64, np.int64)
+            out[0][cuts[at[0]] : cuts[at[0] + 1]], out[1][cuts[at[0]] : cuts[at[0] + 1]] = n, t
+    return out
+
+
+def _read(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    got = [unpacked(p[1:], np.uint64, np.int64, np.int64) for p in payloads if p[0] == 1]
     h = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(g[0], dtype=np.uint64) for g in got]])
     order = np.argsort(h)
     return h[order], *[np.concatenate([np.zeros(0, np.int64), *[g[i] for g in got]])[order] for i in (1, 2)]
@@ -85,6 +100,12 @@ class _Tokens:
         before[self.first[:-1][np.diff(self.first) > 0]] = _BEGIN
         return before, (mix(before * np.uint64(0xD6E8FEB86659FD93) + mix(word)) >> np.uint64(16)) | np.uint64(4)
 
+    def counted(self, word: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All that is counted with the pairs: these, the unknown word, and how many texts begin; and which are wanted."""
+        odd, begins = word == _UNKNOWN, self.first[:-1][np.diff(self.first) > 0]
+        h = np.concatenate([pair, word[odd], np.full(len(begins), _BEGIN)])
+        return h, np.concatenate([self.wanted, self.wanted[odd], self.wanted[begins]])
+
 
 def cross_entropy_difference(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc_id, n_words, loss_target, loss_background, score`` for every row of ``docs (doc_id, text)``.
@@ -114,19 +135,16 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def ask_pairs(b: int, rows: pa.RecordBatch, payloads: list[bytes]) -> pa.Table:
         t = _Tokens(rows, payloads)
-        word = t.known(_read(payloads, 1)[0])
-        pair = t.pairs(word)[1]
-        odd = word == _UNKNOWN  # the unknown word's own count, and how many texts begin
-        begins = t.first[:-1][np.diff(t.first) > 0]
-        h = np.concatenate([pair, word[odd], np.full(len(begins), _BEGIN)])
-        return _message(b, *_entries(h, np.concatenate([t.wanted, t.wanted[odd], t.wanted[begins]]))[:3], n_pairs)
+        word = t.known(_read(payloads)[0])
+        return _message(b, *_entries(*t.counted(word, t.pairs(word)[1]))[:3], n_pairs)
 
     def score(b: int, rows: pa.RecordBatch, payloads: list[bytes]) -> pa.Table:
         t = _Tokens(rows, payloads)
-        vocabulary, *singles = _read(payloads, 1)
-        known_pairs, *doubles = _read(payloads, 2)
+        vocabulary, *singles = _read(payloads)
         word = t.known(vocabulary)
         before, pair = t.pairs(word)
+        known_pairs = np.unique(t.counted(word, pair)[0])
+        doubles = _filled(payloads, known_pairs, n_pairs)
         n = np.diff(t.first)
 
         def own(values: np.ndarray) -> np.ndarray:
