@@ -27,19 +27,22 @@ HOT = 256
 ENDS = 16
 BLOCK_BYTES = 2 << 20
 #: How many bytes of fragments get their suffix arrays in one go.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
+#: Bytes of texts whose fragments are found in one go, and for which there is one bucket of fragments.
+SLICE_BYTES, BUCKET_BYTES = 1 << 18, 4 << 20
 NO_ID = np.iinfo(np.int64).min
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 @dataclass
 class Fragments:
-    """Windows ``start .. last`` (of a block's bytes) with the anchor at ``at``."""
+    """Windows ``start .. last`` (of a block's bytes) with the anchor ``shift`` bytes further on."""
 
     start: np.ndarray
     last: np.ndarray
     anchor: np.ndarray
     group: np.ndarray
+    shift: np.ndarray
     key: np.ndarray
     doc: np.ndarray
 
@@ -50,6 +53,11 @@ class Fragments:
         return Fragments(*[np.concatenate([getattr(self, f), getattr(other, f)]) for f in self.__dataclass_fields__])
 
 
+def keys(sums: np.ndarray, start: np.ndarray, stop: np.ndarray, shift: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """What tells a fragment from others: its bytes, anchor's place and group."""
+    return mix(mix(between(sums, start, stop) + group) + (shift * 128 + (stop - start - WINDOW)).astype(np.uint64))
+
+
 class Block:
     """A block's texts and their fragments."""
 
@@ -60,33 +68,47 @@ class Block:
         self.sums = rolled(_TABLE[self.data])
 
     def fragments(self) -> Fragments:
-        n, none = len(self.data), np.zeros(0, np.int64)
+        """All fragments, found for some whole texts at a time."""
+        none = np.zeros(0, np.int64)
+        parts = [(none, none, none.view(np.uint64), none, none)]
+        i = 0
+        while i < len(self.ids):
+            to = max(i + 1, int(np.searchsorted(self.offsets, self.offsets[i] + SLICE_BYTES, "right")) - 1)
+            parts.append(self._found(i, to))
+            i = to
+        start, last, anchor, at, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return self._keyed(start, last, anchor, at, anchor, doc)
+
+    def _found(self, i: int, to: int) -> tuple[np.ndarray, ...]:
+        """Of texts ``i .. to``: the first and last window, anchor, place of the anchor and document of each fragment."""
+        offsets = self.offsets[i : to + 1] - self.offsets[i]
+        begin, n = int(self.offsets[i]), int(offsets[-1])
         if n < WINDOW:
-            return Fragments(none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), none)
-        grams = np.arange(n - GRAM + 1)
+            none = np.zeros(0, np.int64)
+            return none, none, none.view(np.uint64), none, none
+        grams = np.arange(begin, begin + n - GRAM + 1)
         h = mix(between(self.sums, grams, grams + GRAM))
-        bits = np.uint64(max(1, int(n - 1).bit_length()))
-        least = (h >> bits << bits) | grams.astype(np.uint64)  # of equal hashes the first
+        # The least upper half of a hash; of equal ones the first. It must not depend on what stands around a window.
+        least = (h >> np.uint64(32) << np.uint64(32)) | (grams - begin).astype(np.uint64)
         k, width = least, 1
         while 2 * width <= _SPAN:
             k = np.minimum(k[:-width], k[width:])
             width *= 2
         k = np.minimum(k[: len(k) - (_SPAN - width)], k[_SPAN - width :])
-        windows = np.maximum(np.diff(self.offsets) - WINDOW + 1, 0)
-        start = ranges(self.offsets[:-1], windows)
-        doc = np.repeat(np.arange(len(windows)), windows)
-        at = (k[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        windows = np.maximum(np.diff(offsets) - WINDOW + 1, 0)
+        start = ranges(offsets[:-1], windows)
+        doc = np.repeat(np.arange(i, to), windows)
+        at = (k[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.ones(len(start), bool)
         new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(start)) - 1
+        last = np.append(first[1:], len(start))[: len(first)] - 1
         at = at[first]
-        return self._keyed(start[first], start[last], h[at], at, h[at], self.ids[doc[first]])
+        return start[first] + begin, start[last] + begin, h[at], at + begin, self.ids[doc[first]]
 
     def _keyed(self, start: np.ndarray, last: np.ndarray, anchor: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np.ndarray) -> Fragments:
-        text = between(self.sums, start, last + WINDOW)
-        key = mix(mix(text + group) + ((at - start) * 128 + (last - start)).astype(np.uint64))
-        return Fragments(start, last, anchor, group, key, doc)
+        shift = at - start
+        return Fragments(start, last, anchor, group, shift, keys(self.sums, start, last + WINDOW, shift, group), doc)
 
     def single_windows(self, f: Fragments) -> Fragments:
         """The windows of hot anchors' fragments, each a fragment of its own, grouped by its ends and place around the anchor."""
@@ -141,14 +163,42 @@ def firsts(bytes_: np.ndarray, length: np.ndarray, windows: np.ndarray, doc: np.
         order = np.argsort(rank[start])
         at = start[order]
         same = np.zeros(len(at), bool)
-        here = symbols[at[:, None] + np.arange(WINDOW)]
-        same[1:] = (here[1:] == here[:-1]).all(axis=1) & (np.repeat(np.arange(len(n)), np.add.reduceat(windows[f], ends - n))[order][1:] == np.repeat(np.arange(len(n)), np.add.reduceat(windows[f], ends - n))[order][:-1])
+        here = symbols.astype(np.uint16)[at[:, None] + np.arange(WINDOW)]
+        of = np.repeat(np.arange(len(n)), np.add.reduceat(windows[f], ends - n))[order]
+        same[1:] = (here[1:] == here[:-1]).all(axis=1) & (of[1:] == of[:-1])
         runs = np.flatnonzero(~same)
         low = np.minimum.reduceat(owner[order], runs)
         out[slot[order]] = np.repeat(low, np.diff(np.append(runs, len(at))))
     return out
 
 
+def compared(pair: list[tuple]) -> list[tuple[int, bytes]]:
+    """Replies to some blocks' fragments: per block its number, and its fragments' groups, documents, lengths, shifts and bytes."""
+    owner = [p[0] for p in pair]
+    group, doc, n, shift, data = (np.concatenate([p[i] for p in pair]) for i in range(1, 6))
+    out = []
+    n = n.astype(np.int64)
+    begin = np.cumsum(n) - n
+    fkey = keys(rolled(_TABLE[data]), begin, begin + n, shift.astype(np.int64), group)
+    order = np.lexsort((doc, fkey, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (fkey[order][1:] != fkey[order][:-1]) | (group[order][1:] != group[order][:-1])
+    one = order[new]  # of equal fragments, that of the smallest document
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    windows = n[one] - WINDOW + 1
+    least = firsts(data[ranges(begin[one], n[one])], n[one], windows, doc[one], group[one])
+    first_window = np.cumsum(windows) - windows
+    lowest = np.minimum.reduceat(least, first_window)
+    cuts = np.cumsum([0, *[len(p[1]) for p in pair]])
+    for b, a, e in zip(owner, cuts[:-1], cuts[1:], strict=True):
+        mine = np.arange(a, e)[lowest[number[a:e]] < doc[a:e]]
+        if len(mine):
+            k = number[mine]
+            out.append((b, packed(fkey[mine], least[ranges(first_window[k], windows[k])], windows[k].astype(np.uint8), np.zeros(0, np.uint64))))
+    return out
+
+
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """Remove every byte covered by a :data:`WINDOW`-byte string that also starts in a document with a smaller ``doc_id``.
 
@@ -157,7 +207,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     id do not count against each other; a null id comes before all others. Other columns play no part.
     """
     blocks, size = in_blocks(docs, BLOCK_BYTES)
-    n_anchors, n_fragments = buckets_for(size / 14), buckets_for(size / 40)
+    n_anchors, n_fragments = buckets_for(size / 14), max(1, -(-size // BUCKET_BYTES))
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
         """Each anchor once, with the number of documents that have it (255: that or more)."""
@@ -206,43 +256,37 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
         def pack(x: int, y: int) -> bytes:
             n = f.last[x:y] - f.start[x:y] + WINDOW
-            return packed(f.group[x:y], f.key[x:y], f.doc[x:y], n.astype(np.uint8), here.data[ranges(f.start[x:y], n)], hot[:0])
+            return packed(gaps(f.group[x:y]), f.doc[x:y], n.astype(np.uint8), f.shift[x:y].astype(np.uint8), here.data[ranges(f.start[x:y], n)], hot[:0])
 
         out = sent(bucket_of(f.group, n_fragments), n_fragments, block, pack)
         if len(hot):  # to itself, by way of any bucket: what it has to cut into windows again
-            kind = np.zeros(0, np.uint64)
-            note = packed(kind, kind, kind, np.zeros(0, np.uint8), np.zeros(0, np.uint8), hot)
+            note = packed(*[hot[:0]] * 5, hot)
             out = pa.concat_tables([out, pa.table({"bucket": pa.array([block % n_fragments], pa.int32()), "block": pa.array([block], pa.int32()), "payload": pa.array([note], pa.binary())})])
         return out
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         """Answers each block with those of its fragments of which a window is found in an earlier document than it sent."""
         owner = rows.column("block").to_pylist()
-        got = [unpacked(p, np.uint64, np.uint64, np.int64, np.uint8, np.uint8, np.uint64) for p in rows.column("payload").to_pylist()]
-        out = [(b, packed(g[0], g[2], g[3], g[5])) for b, g in zip(owner, got, strict=True) if not len(g[0])]
+        got = [unpacked(p, np.uint64, np.int64, np.uint8, np.uint8, np.uint8, np.uint64) for p in rows.column("payload").to_pylist()]
+        out = [(b, packed(g[0], g[1], g[2], g[5])) for b, g in zip(owner, got, strict=True) if not len(g[0])]
         pair = [(b, g) for b, g in zip(owner, got, strict=True) if len(g[0])]
         if not pair:
             return replied(out)
-        group, fkey, doc, n = (np.concatenate([g[i] for _, g in pair]) for i in range(4))
-        n = n.astype(np.int64)
-        data = np.concatenate([g[4] for _, g in pair])
-        begin = np.cumsum(n) - n
-        order = np.lexsort((doc, fkey, group))
-        new = np.ones(len(order), bool)
-        new[1:] = (fkey[order][1:] != fkey[order][:-1]) | (group[order][1:] != group[order][:-1])
-        one = order[new]  # of equal fragments, that of the smallest document
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        windows = n[one] - WINDOW + 1
-        least = firsts(data[ranges(begin[one], n[one])], n[one], windows, doc[one], group[one])
-        first_window = np.cumsum(windows) - windows
-        lowest = np.minimum.reduceat(least, first_window)
-        cuts = np.cumsum([0, *[len(g[0]) for _, g in pair]])
-        for (b, _), a, e in zip(pair, cuts[:-1], cuts[1:], strict=True):
-            mine = np.arange(a, e)[lowest[number[a:e]] < doc[a:e]]
-            if len(mine):
-                k = number[mine]
-                out.append((b, packed(fkey[mine], least[ranges(first_window[k], windows[k])], windows[k].astype(np.uint8), np.zeros(0, np.uint64))))
+        groups = [np.cumsum(g[0], dtype=np.uint64) for _, g in pair]
+        begins = [np.append(0, np.cumsum(g[2], dtype=np.int64)) for _, g in pair]
+        # Some groups at a time, as what is made of them is many times larger.
+        spread = np.sort(np.concatenate(groups))
+        parts = max(1, -(-sum(len(g[4]) for _, g in pair) // AT_ONCE))
+        cuts = spread[[k * len(spread) // parts for k in range(1, parts)]]
+        ends = [np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]).astype(np.int64) for x in groups]
+        for k in range(parts):
+            some = []
+            for (b, g), x, e, at in zip(pair, groups, ends, begins, strict=True):
+                lo, hi = int(e[k]), int(e[k + 1])
+                if lo < hi:
+                    some.append((b, x[lo:hi], g[1][lo:hi], g[2][lo:hi], g[3][lo:hi], g[4][at[lo] : at[hi]]))
+            if some:
+                out += compared(some)
         return replied(out)
 
     def remove(block: int, rows: pa.RecordBatch, payloads: list[bytes]) -> pa.Table:
