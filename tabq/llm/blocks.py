@@ -116,7 +116,7 @@ def packed(*arrays: np.ndarray) -> bytes:
     parts = [np.array([len(a) for a in arrays], np.int64).tobytes()]
     for a in arrays:  # bytes of one weight together compress better
         parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpacked(payload: bytes, *types: type) -> list[np.ndarray]:
