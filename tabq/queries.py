@@ -76,7 +76,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "distinct_aggregate": ("select distinct hidden o_custkey n = count(*) total = sum(o_orderkey) from orders", "select count(*)::double as n, sum(k)::bigint as total from (select min(o_orderkey) as k from orders group by o_custkey)"),
     "order_desc": ("select top 20 c_custkey c_acctbal from customer order by c_custkey", "select c_custkey, c_acctbal from customer order by c_custkey desc limit 20"),
     "order_asc_limit": ("select c_custkey from customer order by c_custkey asc limit 15", "select c_custkey from customer order by c_custkey limit 15"),
-    "order_nulls": ("select top 2100 p_partkey v = case when p_size > 25 then p_partkey end from part order by case when p_size > 25 then p_partkey end * 1", "select p_partkey, case when p_size > 25 then p_partkey end as v from part"),
+    "order_nulls": ("select p_partkey v = case when p_size > 25 then p_partkey end from part order by case when p_size > 25 then p_partkey end * 1", "select p_partkey, case when p_size > 25 then p_partkey end as v from part"),
     "inner_join": ("select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey = c.c_custkey", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey"),
     "left_join": ("select c.c_custkey, o.o_orderkey from customer c left join orders o on c.c_custkey = o.o_custkey", "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey"),
     "outer_join": ("select c.c_custkey, o.o_orderkey from customer c left outer join orders o on o.o_custkey = c.c_custkey where o.o_orderkey = null", "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey where o_orderkey is null"),

@@ -34,6 +34,15 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
     assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == want
 
 
+def test_order_nulls_orders_all_rows(spark, tmp_path):
+    sizes = [(i, i % 50) for i in range(3000)]
+    spark.createDataFrame(sizes, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = [tuple(r) for r in QUERIES["order_nulls"](spark, str(tmp_path)).collect()]
+    assert sorted(r[0] for r in got) == [i for i, _ in sizes]
+    some = sorted((i for i, n in sizes if n > 25), reverse=True)
+    assert [r[1] for r in got] == some + [None] * (len(sizes) - len(some))
+
+
 def rows(spark, text, **more):
     return [tuple(r) for r in Engine(spark, **more).sql(text).collect()]
 
