@@ -2,8 +2,9 @@
 
 Windows of :data:`WINDOW` bytes are dealt out by their anchor, the run of :data:`GRAM` bytes in them with the least
 hash; equal windows have equal anchors at the same place. Windows of one document with one anchor make up a fragment. The
-fragments around an anchor that more than one document has are gathered, and the suffix array over the different ones
-shows which windows are equal and which document is the first to have them.
+fragments around an anchor that more than one document has are gathered, and the suffix array over them shows which
+windows are equal and which document is the first to have them. A block sends fragments of the same bytes once; fragments
+of several blocks, equal ones too, all go into the suffix array.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ _SPAN = WINDOW - GRAM + 1
 HOT = 256
 ENDS = 16
 BLOCK_BYTES = 2 << 20
+#: How many equal hashes have their fragments' bytes compared in one go.
+PAIRS = 1 << 13
 #: How many bytes of fragments get their suffix arrays in one go.
 AT_ONCE = 1 << 19
 #: Bytes of texts whose fragments are found in one go, and for which there is one bucket of fragments.
@@ -123,10 +126,30 @@ class Block:
         return f.pick(~is_hot) + self.single_windows(f.pick(is_hot)) if is_hot.any() else f
 
 
+    def alike(self, f: Fragments) -> tuple[Fragments, np.ndarray]:
+        """The fragments in an order that brings equal ones together, by document, and which of them are not the same as the one before.
+
+        Hashes bring them together, bytes decide. Fragments around other anchors do not come in between.
+        """
+        f = f.pick(np.lexsort((f.doc, f.key, f.anchor, f.group)))
+        n = f.last - f.start + WINDOW
+        near = np.ones(len(n), bool)
+        near[:1] = False
+        for x in (f.group, f.anchor, f.key, n):
+            near[1:] &= x[1:] == x[:-1]
+        near = np.flatnonzero(near)
+        new = np.ones(len(n), bool)
+        for k in range(0, len(near), PAIRS):
+            at = near[k : k + PAIRS]
+            differ = self.data[ranges(f.start[at], n[at])] != self.data[ranges(f.start[at - 1], n[at])]
+            new[at] = np.logical_or.reduceat(differ, np.cumsum(n[at]) - n[at])
+        return f, new
+
+
 def firsts(bytes_: np.ndarray, length: np.ndarray, windows: np.ndarray, doc: np.ndarray, group: np.ndarray) -> np.ndarray:
     """For every window of these fragments, the smallest document that has it in a fragment of the same group.
 
-    Fragments of a group come together and differ. A group of one has nothing to be compared with.
+    Fragments of a group come together. A group of one has nothing to be compared with.
     """
     begin = np.cumsum(length) - length
     first_window = np.cumsum(windows) - windows
@@ -173,21 +196,17 @@ def firsts(bytes_: np.ndarray, length: np.ndarray, windows: np.ndarray, doc: np.
 
 
 def compared(pair: list[tuple]) -> list[tuple[int, bytes]]:
-    """Replies to some blocks' fragments: per block its number, and its fragments' groups, documents, lengths, shifts and bytes."""
+    """Replies to some blocks' fragments: per block its number, and its fragments' groups, documents, lengths, places and bytes."""
     owner = [p[0] for p in pair]
-    group, doc, n, shift, data = (np.concatenate([p[i] for p in pair]) for i in range(1, 6))
+    group, doc, n, place, data = (np.concatenate([p[i] for p in pair]) for i in range(1, 6))
     out = []
     n = n.astype(np.int64)
     begin = np.cumsum(n) - n
-    fkey = keys(rolled(_TABLE[data]), begin, begin + n, shift.astype(np.int64), group)
-    order = np.lexsort((doc, fkey, group))
-    new = np.ones(len(order), bool)
-    new[1:] = (fkey[order][1:] != fkey[order][:-1]) | (group[order][1:] != group[order][:-1])
-    one = order[new]  # of equal fragments, that of the smallest document
+    order = np.argsort(group, kind="stable")
     number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    windows = n[one] - WINDOW + 1
-    least = firsts(data[ranges(begin[one], n[one])], n[one], windows, doc[one], group[one])
+    number[order] = np.arange(len(order))
+    windows = n[order] - WINDOW + 1
+    least = firsts(data[ranges(begin[order], n[order])], n[order], windows, doc[order], group[order])
     first_window = np.cumsum(windows) - windows
     lowest = np.minimum.reduceat(least, first_window)
     cuts = np.cumsum([0, *[len(p[1]) for p in pair]])
@@ -195,7 +214,7 @@ def compared(pair: list[tuple]) -> list[tuple[int, bytes]]:
         mine = np.arange(a, e)[lowest[number[a:e]] < doc[a:e]]
         if len(mine):
             k = number[mine]
-            out.append((b, packed(fkey[mine], least[ranges(first_window[k], windows[k])], windows[k].astype(np.uint8), np.zeros(0, np.uint64))))
+            out.append((b, packed(place[mine], least[ranges(first_window[k], windows[k])], windows[k].astype(np.uint8), np.zeros(0, np.uint64))))
     return out
 
 
@@ -248,15 +267,12 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         here = Block(rows)
         f = here.fragments()
         f = here.split_hot(f.pick(is_in(f.anchor, held)), hot)
-        order = np.lexsort((f.doc, f.key, f.group))
-        f = f.pick(order)
-        new = np.ones(len(f.key), bool)
-        new[1:] = (f.key[1:] != f.key[:-1]) | (f.group[1:] != f.group[:-1])
+        f, new = here.alike(f)
         f = f.pick(new)
 
         def pack(x: int, y: int) -> bytes:
             n = f.last[x:y] - f.start[x:y] + WINDOW
-            return packed(gaps(f.group[x:y]), f.doc[x:y], n.astype(np.uint8), f.shift[x:y].astype(np.uint8), here.data[ranges(f.start[x:y], n)], hot[:0])
+            return packed(gaps(f.group[x:y]), f.doc[x:y], n.astype(np.uint8), f.start[x:y].astype(np.int32), here.data[ranges(f.start[x:y], n)], hot[:0])
 
         out = sent(bucket_of(f.group, n_fragments), n_fragments, block, pack)
         if len(hot):  # to itself, by way of any bucket: what it has to cut into windows again
@@ -267,7 +283,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         """Answers each block with those of its fragments of which a window is found in an earlier document than it sent."""
         owner = rows.column("block").to_pylist()
-        got = [unpacked(p, np.uint64, np.int64, np.uint8, np.uint8, np.uint8, np.uint64) for p in rows.column("payload").to_pylist()]
+        got = [unpacked(p, np.uint64, np.int64, np.uint8, np.int32, np.uint8, np.uint64) for p in rows.column("payload").to_pylist()]
         out = [(b, packed(g[0], g[1], g[2], g[5])) for b, g in zip(owner, got, strict=True) if not len(g[0])]
         pair = [(b, g) for b, g in zip(owner, got, strict=True) if len(g[0])]
         if not pair:
@@ -291,24 +307,24 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     def remove(block: int, rows: pa.RecordBatch, payloads: list[bytes]) -> pa.Table:
         here = Block(rows)
-        got = [unpacked(p, np.uint64, np.int64, np.uint8, np.uint64) for p in payloads]
+        got = [unpacked(p, np.int32, np.int64, np.uint8, np.uint64) for p in payloads]
         hot = np.unique(np.concatenate([g[3] for g in got])) if got else np.zeros(0, np.uint64)
-        f = here.split_hot(here.fragments(), hot)
+        f, new = here.alike(here.split_hot(here.fragments(), hot))
         windows = f.last - f.start + 1
         # What the block knows itself: equal fragments of its own documents.
-        key, number = np.unique(f.key, return_inverse=True)
-        low = np.full(len(key), np.iinfo(np.int64).max)
-        np.minimum.at(low, number, f.doc)
+        number = np.cumsum(new) - 1
+        heads = np.flatnonzero(new)  # each has the smallest document, and is what was sent
         start = ranges(f.start, windows)
-        doc, least = np.repeat(f.doc, windows), np.repeat(low[number], windows)
+        doc, least = np.repeat(f.doc, windows), np.repeat(f.doc[heads][number], windows)
         if got:
-            akey = np.concatenate([g[0] for g in got])
+            aplace = np.concatenate([g[0] for g in got]).astype(np.int64)
             alow, an = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got]).astype(np.int64)
             abegin = np.cumsum(an) - an
-            order = np.argsort(akey)
-            akey, an, abegin = akey[order], an[order], abegin[order]
-            hit = np.flatnonzero(is_in(f.key, akey))
-            to = np.searchsorted(akey, f.key[hit])
+            order = np.argsort(aplace)
+            aplace, an, abegin = aplace[order], an[order], abegin[order]
+            sent_as = f.start[heads][number]
+            hit = np.flatnonzero(is_in(sent_as, aplace))
+            to = np.searchsorted(aplace, sent_as[hit])
             first_window = np.cumsum(windows) - windows
             mine = ranges(first_window[hit], windows[hit])
             least[mine] = np.minimum(least[mine], alow[ranges(abegin[to], an[to])])

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -116,6 +117,21 @@ def test_suffixes_of_nothing(make):
     assert suffixes.suffix_dedup(make([])).count() == 0
 
 
+def test_bytes_decide_where_hashes_are_equal(monkeypatch):
+    monkeypatch.setattr(suffixes, "keys", lambda sums, start, stop, shift, group: np.zeros(len(start), np.uint64))
+    one, other = b"a" * 60, b"b" * 60
+    sent = [(b, np.array([7], np.uint64), np.array([b]), np.array([60], np.uint8), np.array([b], np.int32), np.frombuffer(t, np.uint8)) for b, t in enumerate([one, other, other, one])]
+    got = {b: suffixes.unpacked(p, np.int32, np.int64, np.uint8, np.uint64) for b, p in suffixes.compared(sent)}
+    assert {b: (list(x[0]), list(x[1]), list(x[2])) for b, x in got.items()} == {2: ([2], [1] * 11, [11]), 3: ([3], [0] * 11, [11])}
+
+
+def test_fragments_of_a_block_are_the_same_by_bytes():
+    block = suffixes.Block(pa.record_batch({"doc_id": pa.array([1, 2, 3]), "text": pa.array(["a" * 60, "a" * 60, "b" * 60], pa.large_string())}))
+    zero, docs = np.zeros(3, np.int64), np.array([1, 2, 3])
+    f = suffixes.Fragments(docs * 60 - 60, docs * 60 - 50, zero.view(np.uint64), zero.view(np.uint64), zero, zero.view(np.uint64), docs)
+    assert list(block.alike(f)[1]) == [True, False, True]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 4), max_size=30), min_size=1, max_size=6))
 def test_suffix_ranks(texts):
