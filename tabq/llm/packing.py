@@ -7,7 +7,9 @@ level are all that the choice looks at. Tasks pack their own rows; nothing is sh
 from __future__ import annotations
 
 import json
+import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table, text_of
+from .hashing import slices
 
 Piece = tuple[int, int, bytes, int]  # doc_id, start, ids (little-endian, 4 bytes each), tokens of the whole document
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -100,67 +103,103 @@ class LevelPacker:
 class WordCache:
     """Token ids by white-space separated chunk, as bytes. The vocabulary drops white space and no token crosses it.
 
-    Over ``most`` chunks become the old ones, of which those that come again are kept; results do not depend on it.
+    Chunks of over ``most`` bytes become the old ones, of which those that come again are kept, so twice ``most`` is held;
+    long chunks are never kept. Results do not depend on it.
     """
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    def __init__(self, vocabulary: str, most: int = 32 << 20):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.old = Tokenizer.from_str(vocabulary), most, {}, {}
+        self.tokenizer, self.most, self.known, self.old, self.held = Tokenizer.from_str(vocabulary), most, {}, {}, 0
         mark = json.loads(vocabulary)["model"].get("end_of_word_suffix")
         pieces = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
         self.ends[[i for p, i in pieces.items() if mark and p.endswith(mark)]] = True
 
-    def _encoded(self, chunks: list[str]) -> None:
+    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
         """Words of letters alone are one piece each, with a token that ends a word last: they are encoded many at a time."""
         plain = [c for c in chunks if c.isalpha()]
         lines = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         alone = [c for c in chunks if not c.isalpha()]
+        found = {}
         for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(line):
                 raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-                self.known.update(zip(line, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+                found.update(zip(line, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
             else:
                 alone += line
-        for c, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
-            self.known[c] = np.asarray(e.ids, "<u4").tobytes()
+        for at in range(0, len(alone), 256):
+            some = alone[at : at + 256]
+            for c, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                found[c] = np.asarray(e.ids, "<u4").tobytes()
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known, self.old = {}, self.known
+        if self.held > self.most:
+            self.known, self.old, self.held = {}, self.known, 0
         known, old = self.known, self.old
         # Python also splits at four control characters that are no white space to the tokenizer.
         odd = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
         split = [[t] if i in odd else t.split() for i, t in enumerate(texts)]
         missing = set().union(*split).difference(known)
-        known.update((c, old[c]) for c in missing & old.keys())
+        fresh = {c: old[c] for c in missing & old.keys()}
         parts = {c: _parts(c) for c in missing.difference(old)}
-        pieces = {p for c in parts for p in parts[c]}.difference(known)
-        known.update((c, old[c]) for c in pieces & old.keys())
-        self._encoded(list(pieces.difference(old)))
+        pieces = {p for c in parts.values() for p in c}
+        got = {p: v for p in pieces if (v := known.get(p) or old.get(p)) is not None}
+        got.update(self._encoded(list(pieces.difference(got))))
+        fresh.update(got)
         for c, p in parts.items():
-            known[c] = known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+            if len(p) > 1:
+                fresh[c] = got[p[0]] + got[p[1]]
+            else:
+                fresh[c] = got[p[0]]
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        for c, v in fresh.items():
+            if len(c) > LONGEST:
+                del known[c]
+            else:
+                self.held += ENTRY + len(c) + len(v)
+        return out
 
 
+#: Chunks of more characters are encoded each time; the bytes that an entry takes besides its text and ids.
+LONGEST, ENTRY = 64, 190
 _MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")
 
 
 def _parts(chunk: str) -> tuple[str, ...]:
-    """What the tokenizer takes apart anyway: a word, in lower case, and the ASCII marks after it. So more is found again."""
-    m = _MARKED.fullmatch(chunk)
+    """What the tokenizer takes apart anyway: a word, in lower case, and the ASCII marks after it. So more is found again.
+
+    Only where normalising keeps the word all letters: some letters become a letter and a combining mark, which the
+    tokenizer then takes together with the marks.
+    """
+    m = None if chunk.isalpha() else _MARKED.fullmatch(chunk)
     word = m[1] if m else chunk
+    if word.isascii():
+        if not word.isalpha():
+            return (chunk,)
+        return (word.lower(), m[2]) if m else (word.lower(),)
+    if "\u03a3" in word or "\u0130" in word:  # the two letters whose lower case depends on the program
+        return (chunk,)
+    word = unicodedata.normalize("NFC", word).lower()
     if not word.isalpha():
         return (chunk,)
-    if "\u03a3" not in word and "\u0130" not in word:  # the two letters whose lower case depends on the program
-        word = word.lower()
     return (word, m[2]) if m else (word,)
 
 
 _caches: dict[int, WordCache] = {}
+#: What a task should have to place, by Spark's estimate of the input.
+TASK_BYTES = 2 << 20
+
+
+def merged(docs: DataFrame) -> DataFrame:
+    """``docs`` without needlessly small partitions: placing needs many documents to choose from."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.coalesce(min(max(1, size // TASK_BYTES), 1 << 30))  # never more than there are
 
 
 def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 2, id_col: str = "doc_id") -> DataFrame:
@@ -170,8 +209,12 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 2, id
     Long documents are cut. Every id lies in one piece, pieces lie without gaps from offset 0, and each sequence is full
     or a power of two long. ``sequence_id`` is made of the task's number and a count, so a task that runs again gives
     the same. Repeated rows and null ids are packed like others. Other columns play no part. No rows, no pieces.
+
+    Every task places its own rows, so partitions that are small by Spark's estimate are merged to about
+    :data:`TASK_BYTES` before. A document is held whole, a few times over, while it is encoded.
     """
     small_batches(docs.sparkSession)
+    texts = merged(docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs).alias("text")))
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +239,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 2, id
 
         packer = LevelPacker(size, close)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch):
                 for doc, ids in zip(part.column(0).to_pylist(), cache.encode(part.column(1).to_pylist()), strict=True):
                     packer.add(doc, ids + end)
             if len(done) > 10_000:
@@ -206,7 +248,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 2, id
         if done:
             yield rows()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, SCHEMA)
+    return texts.mapInArrow(run, SCHEMA)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

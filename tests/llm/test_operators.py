@@ -1,8 +1,10 @@
 """Each operator against a plain version, on edge cases and on the small tables."""
 
 import collections
+import functools
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -172,6 +174,36 @@ def test_packing(make, edge_rows):
     assert packing.pack(make([]), vocabulary).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aZ.,!'\u0301\u0130\u03a3\u095d\u0958 \t\x1c")), max_size=12), max_size=4))
+def test_ids_are_the_tokenizers(texts):
+    want = [e.ids for e in cache().tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in cache().encode(texts)] == want
+
+
+def test_ids_of_every_letter():
+    """Each character that is a letter or has another form, as a word, before and after marks and letters."""
+    chars = [chr(i) for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000]
+    chars = [c for c in chars if unicodedata.normalize("NFC", c).lower() != c or (c.isalpha() and ord(c) < 0x3000)]
+    for form in ("{}.", "a{}.", "{}a,", "A{}!?"):
+        texts = [form.format(c) for c in chars]
+        want = [e.ids for e in cache().tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in cache().encode(texts)] == want
+
+
+@functools.cache
+def cache():
+    return packing.WordCache(packing.vocabulary(), most=1 << 14)
+
+
+def test_word_cache_is_bounded():
+    small = packing.WordCache(packing.vocabulary(), most=10_000)
+    for n in range(40):
+        small.encode([" ".join(f"w{chr(97 + n % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}," for k in range(50)) + " " + "x" * 5000])
+    held = sum(packing.ENTRY + len(c) + len(v) for x in (small.known, small.old) for c, v in x.items())
+    assert held < 2 * 10_000 + 60 * 400 and max(map(len, small.known)) <= packing.LONGEST
+
+
 def test_level_packer_takes_the_best_level():
     packer = packing.LevelPacker(10, lambda w: None)
     for n in (4, 4, 7, 3):
