@@ -107,7 +107,7 @@ class WordCache:
     long chunks are never kept. Results do not depend on it.
     """
 
-    def __init__(self, vocabulary: str, most: int = 32 << 20):
+    def __init__(self, vocabulary: str, most: int = 64 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -141,54 +141,60 @@ class WordCache:
         if self.held > self.most:
             self.known, self.old, self.held = {}, self.known, 0
         known, old = self.known, self.old
-        # Python also splits at four control characters that are no white space to the tokenizer.
-        odd = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        split = [[t] if i in odd else t.split() for i, t in enumerate(texts)]
-        missing = set().union(*split).difference(known)
-        fresh = {c: old[c] for c in missing & old.keys()}
-        parts = {c: _parts(c) for c in missing.difference(old)}
-        pieces = {p for c in parts.values() for p in c}
-        got = {p: v for p in pieces if (v := known.get(p) or old.get(p)) is not None}
-        got.update(self._encoded(list(pieces.difference(got))))
-        fresh.update(got)
-        for c, p in parts.items():
-            if len(p) > 1:
-                fresh[c] = got[p[0]] + got[p[1]]
+        split = []
+        for t in texts:
+            # Python also splits at four control characters that are no white space to the tokenizer.
+            split.append([t] if _ODD.search(t) else _lowered(t).split())
+        fresh, todo, two = {}, [], {}
+        for c in set().union(*split).difference(known):
+            if (v := old.get(c)) is not None:
+                fresh[c] = v
+            elif c.isalpha() or (p := _parts(c)) is None:
+                todo.append(c)
             else:
-                fresh[c] = got[p[0]]
+                two[c] = p
+        pieces = {p for pair in two.values() for p in pair}.difference(known, fresh)
+        fresh.update((p, old[p]) for p in pieces & old.keys())
+        fresh.update(self._encoded(list(pieces.difference(old).union(todo))))
+        known.update(fresh)
+        for c, (word, marks) in two.items():
+            fresh[c] = known[word] + known[marks]
         known.update(fresh)
         out = [b"".join(map(known.__getitem__, s)) for s in split]
-        for c, v in fresh.items():
-            if len(c) > LONGEST:
-                del known[c]
-            else:
-                self.held += ENTRY + len(c) + len(v)
+        for c in [c for c in fresh if len(c) > LONGEST]:
+            del known[c], fresh[c]
+        self.held += ENTRY * len(fresh) + sum(map(len, fresh)) + sum(map(len, fresh.values()))
         return out
 
 
 #: Chunks of more characters are encoded each time; the bytes that an entry takes besides its text and ids.
 LONGEST, ENTRY = 64, 190
+_ODD = re.compile("[\x1c-\x1f]")
 _MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")
 
 
-def _parts(chunk: str) -> tuple[str, ...]:
-    """What the tokenizer takes apart anyway: a word, in lower case, and the ASCII marks after it. So more is found again.
+def _lowered(text: str) -> str:
+    """The text as the tokenizer normalises it, where that is sure to give the same ids, so that more is found again."""
+    if "<|" in text:  # may begin a special token, which is looked for before normalising
+        return text
+    if text.isascii():
+        return text.lower()
+    if "\u03a3" in text or "\u0130" in text:  # the two letters whose lower case depends on the program
+        return text
+    low = text.lower()
+    return low if unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else text
+
+
+def _parts(chunk: str) -> tuple[str, str] | None:
+    """A word and the ASCII marks after it, which the tokenizer takes apart anyway.
 
     Only where normalising keeps the word all letters: some letters become a letter and a combining mark, which the
     tokenizer then takes together with the marks.
     """
-    m = None if chunk.isalpha() else _MARKED.fullmatch(chunk)
-    word = m[1] if m else chunk
-    if word.isascii():
-        if not word.isalpha():
-            return (chunk,)
-        return (word.lower(), m[2]) if m else (word.lower(),)
-    if "\u03a3" in word or "\u0130" in word:  # the two letters whose lower case depends on the program
-        return (chunk,)
-    word = unicodedata.normalize("NFC", word).lower()
-    if not word.isalpha():
-        return (chunk,)
-    return (word, m[2]) if m else (word,)
+    m = _MARKED.fullmatch(chunk)
+    if m and (m[1].isascii() or "\u0130" not in m[1] and unicodedata.normalize("NFC", m[1]).lower().isalpha()):
+        return m[1], m[2]
+    return None
 
 
 _caches: dict[int, WordCache] = {}
