@@ -21,8 +21,11 @@ from .common import table
 from .hashing import between, buffers, mix, ranges, rolled
 from .suffix import suffix_ranks
 
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM = 50, 30
 _SPAN = WINDOW - GRAM + 1
+#: Bits of an anchor's hash beyond those that number all anchors: one in 2**SPARE looks shared and is not. The hash only says
+#: what is looked at together; bytes decide.
+SPARE = 12
 #: Anchors of so many documents are hot: their fragments are cut into single windows, which are dealt out by their ends.
 HOT = 256
 ENDS = 16
@@ -64,7 +67,8 @@ def keys(sums: np.ndarray, start: np.ndarray, stop: np.ndarray, shift: np.ndarra
 class Block:
     """A block's texts and their fragments."""
 
-    def __init__(self, rows: pa.RecordBatch):
+    def __init__(self, rows: pa.RecordBatch, bits: int = 64):
+        self.drop = np.uint64(64 - bits)
         self.data, self.offsets = buffers(rows.column("text"))
         ids = rows.column("doc_id")
         self.ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)  # a null id comes before all others
@@ -107,7 +111,7 @@ class Block:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(start))[: len(first)] - 1
         at = at[first]
-        return start[first] + begin, start[last] + begin, h[at], at + begin, self.ids[doc[first]]
+        return start[first] + begin, start[last] + begin, h[at] >> self.drop << self.drop, at + begin, self.ids[doc[first]]
 
     def _keyed(self, start: np.ndarray, last: np.ndarray, anchor: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np.ndarray) -> Fragments:
         shift = at - start
@@ -226,29 +230,31 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     id do not count against each other; a null id comes before all others. Other columns play no part.
     """
     blocks, size = in_blocks(docs, BLOCK_BYTES)
-    n_anchors, n_fragments = buckets_for(size / 14), max(1, -(-size // BUCKET_BYTES))
+    anchors = size * 2 / (_SPAN + 1)
+    n_anchors, n_fragments = buckets_for(anchors), max(1, -(-size // BUCKET_BYTES))
+    bits = min(64, 8 * -(-(int(anchors).bit_length() + SPARE) // 8))
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
-        """Each anchor once, with the number of documents that have it (255: that or more)."""
-        f = Block(ordered(rows)).fragments()
+        """Each anchor once, with the number of documents that have it."""
+        f = Block(ordered(rows), bits).fragments()
         order = np.lexsort((f.doc, f.anchor))
         a, d = f.anchor[order], f.doc[order]
         new, more = np.ones(len(a), bool), np.ones(len(a), bool)
         new[1:] = a[1:] != a[:-1]
         more[1:] = new[1:] | (d[1:] != d[:-1])
         heads = np.flatnonzero(new)
-        n = np.minimum(np.add.reduceat(more.astype(np.int64), heads), 255) if len(heads) else heads
+        n = np.add.reduceat(more.astype(np.int32), heads) if len(heads) else heads.astype(np.int32)
         a = a[heads]
 
         def pack(x: int, y: int) -> bytes:
-            return packed(gaps(a[x:y]), n[x:y].astype(np.uint8))
+            return packed(gaps(a[x:y]), n[x:y].astype(np.int32))
 
         return sent(bucket_of(a, n_anchors), n_anchors, key[0].as_py(), pack)
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         """Answers each block with its anchors that several documents have, and those of them that are hot."""
         owner = rows.column("block").to_pylist()
-        got = [unpacked(p, np.uint64, np.uint8) for p in rows.column("payload").to_pylist()]
+        got = [unpacked(p, np.uint64, np.int32) for p in rows.column("payload").to_pylist()]
         each = [np.cumsum(g[0], dtype=np.uint64) for g in got]
         h, inverse = np.unique(np.concatenate(each), return_inverse=True)
         n = np.bincount(inverse, weights=np.concatenate([g[1] for g in got]).astype(float))
@@ -257,14 +263,14 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         for b, x, a, e in zip(owner, each, cuts[:-1], cuts[1:], strict=True):
             mine = n[inverse[a:e]]
             if (mine > 1).any():
-                out.append((b, packed(x[mine > 1], x[mine >= HOT])))
+                out.append((b, packed(gaps(x[mine > 1]), gaps(x[mine >= HOT]))))
         return replied(out)
 
     def send(block: int, rows: pa.RecordBatch, payloads: list[bytes]) -> pa.Table:
         """The different fragments around these anchors, each with the smallest document that has it."""
         got = [unpacked(p, np.uint64, np.uint64) for p in [*payloads, packed(*[np.zeros(0, np.uint64)] * 2)]]
-        held, hot = np.sort(np.concatenate([g[0] for g in got])), np.sort(np.concatenate([g[1] for g in got]))
-        here = Block(rows)
+        held, hot = (np.sort(np.concatenate([np.cumsum(g[i], dtype=np.uint64) for g in got])) for i in (0, 1))
+        here = Block(rows, bits)
         f = here.fragments()
         f = here.split_hot(f.pick(is_in(f.anchor, held)), hot)
         f, new = here.alike(f)
@@ -306,7 +312,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         return replied(out)
 
     def remove(block: int, rows: pa.RecordBatch, payloads: list[bytes]) -> pa.Table:
-        here = Block(rows)
+        here = Block(rows, bits)
         got = [unpacked(p, np.int32, np.int64, np.uint8, np.uint64) for p in payloads]
         hot = np.unique(np.concatenate([g[3] for g in got])) if got else np.zeros(0, np.uint64)
         f, new = here.alike(here.split_hot(here.fragments(), hot))
