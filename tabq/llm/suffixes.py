@@ -3,8 +3,8 @@
 Windows of :data:`WINDOW` bytes are dealt out by their anchor, the run of :data:`GRAM` bytes in them with the least
 hash; equal windows have equal anchors at the same place. Windows of one document with one anchor make up a fragment. The
 fragments around an anchor that more than one document has are gathered, and the suffix array over them shows which
-windows are equal and which document is the first to have them. A block sends fragments of the same bytes once; fragments
-of several blocks, equal ones too, all go into the suffix array.
+windows are equal and which document is the first to have them. Fragments of the same bytes (hashes bring them together,
+bytes are compared) count once, with their smallest document, in a block and again where blocks meet.
 """
 
 from __future__ import annotations
@@ -129,25 +129,26 @@ class Block:
         is_hot = is_in(f.anchor, hot)
         return f.pick(~is_hot) + self.single_windows(f.pick(is_hot)) if is_hot.any() else f
 
-
     def alike(self, f: Fragments) -> tuple[Fragments, np.ndarray]:
-        """The fragments in an order that brings equal ones together, by document, and which of them are not the same as the one before.
-
-        Hashes bring them together, bytes decide. Fragments around other anchors do not come in between.
-        """
+        """The fragments in an order that brings equal ones together, by document, and which of them are not the same as the one before."""
         f = f.pick(np.lexsort((f.doc, f.key, f.anchor, f.group)))
-        n = f.last - f.start + WINDOW
-        near = np.ones(len(n), bool)
-        near[:1] = False
-        for x in (f.group, f.anchor, f.key, n):
-            near[1:] &= x[1:] == x[:-1]
-        near = np.flatnonzero(near)
-        new = np.ones(len(n), bool)
-        for k in range(0, len(near), PAIRS):
-            at = near[k : k + PAIRS]
-            differ = self.data[ranges(f.start[at], n[at])] != self.data[ranges(f.start[at - 1], n[at])]
-            new[at] = np.logical_or.reduceat(differ, np.cumsum(n[at]) - n[at])
-        return f, new
+        return f, differing(self.data, f.start, f.last - f.start + WINDOW, f.group, f.anchor, f.key)
+
+
+def differing(data: np.ndarray, start: np.ndarray, n: np.ndarray, *same: np.ndarray) -> np.ndarray:
+    """Which runs ``start, n`` of ``data`` are not the one before again. Only those are compared that agree in ``same``
+    (hashes, which bring equal runs together); bytes decide."""
+    near = np.ones(len(n), bool)
+    near[:1] = False
+    for x in (*same, n):
+        near[1:] &= x[1:] == x[:-1]
+    near = np.flatnonzero(near)
+    new = np.ones(len(n), bool)
+    for k in range(0, len(near), PAIRS):
+        at = near[k : k + PAIRS]
+        unlike = data[ranges(start[at], n[at])] != data[ranges(start[at - 1], n[at])]
+        new[at] = np.logical_or.reduceat(unlike, np.cumsum(n[at]) - n[at])
+    return new
 
 
 def firsts(bytes_: np.ndarray, length: np.ndarray, windows: np.ndarray, doc: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -200,17 +201,23 @@ def firsts(bytes_: np.ndarray, length: np.ndarray, windows: np.ndarray, doc: np.
 
 
 def compared(pair: list[tuple]) -> list[tuple[int, bytes]]:
-    """Replies to some blocks' fragments: per block its number, and its fragments' groups, documents, lengths, places and bytes."""
+    """Replies to some blocks' fragments: per block its number, and its fragments' groups, documents, lengths, places and bytes.
+
+    Fragments of the same bytes in one group count once in the suffix array, with the smallest document.
+    """
     owner = [p[0] for p in pair]
     group, doc, n, place, data = (np.concatenate([p[i] for p in pair]) for i in range(1, 6))
     out = []
     n = n.astype(np.int64)
     begin = np.cumsum(n) - n
-    order = np.argsort(group, kind="stable")
+    key = keys(rolled(_TABLE[data]), begin, begin + n, np.zeros(len(n), np.int64), group)
+    order = np.lexsort((doc, key, n, group))
+    new = differing(data, begin[order], n[order], group[order], key[order])
+    heads = order[new]
     number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
-    windows = n[order] - WINDOW + 1
-    least = firsts(data[ranges(begin[order], n[order])], n[order], windows, doc[order], group[order])
+    number[order] = np.cumsum(new) - 1
+    windows = n[heads] - WINDOW + 1
+    least = firsts(data[ranges(begin[heads], n[heads])], n[heads], windows, doc[heads], group[heads])
     first_window = np.cumsum(windows) - windows
     lowest = np.minimum.reduceat(least, first_window)
     cuts = np.cumsum([0, *[len(p[1]) for p in pair]])
@@ -218,7 +225,7 @@ def compared(pair: list[tuple]) -> list[tuple[int, bytes]]:
         mine = np.arange(a, e)[lowest[number[a:e]] < doc[a:e]]
         if len(mine):
             k = number[mine]
-            out.append((b, packed(place[mine], least[ranges(first_window[k], windows[k])], windows[k].astype(np.uint8), np.zeros(0, np.uint64))))
+            out.append((b, place[mine], least[ranges(first_window[k], windows[k])], windows[k].astype(np.uint8)))
     return out
 
 
@@ -301,14 +308,16 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         parts = max(1, -(-sum(len(g[4]) for _, g in pair) // AT_ONCE))
         cuts = spread[[k * len(spread) // parts for k in range(1, parts)]]
         ends = [np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]).astype(np.int64) for x in groups]
+        replies: dict[int, list[tuple]] = {}
         for k in range(parts):
             some = []
             for (b, g), x, e, at in zip(pair, groups, ends, begins, strict=True):
                 lo, hi = int(e[k]), int(e[k + 1])
                 if lo < hi:
                     some.append((b, x[lo:hi], g[1][lo:hi], g[2][lo:hi], g[3][lo:hi], g[4][at[lo] : at[hi]]))
-            if some:
-                out += compared(some)
+            for b, *found in compared(some) if some else []:
+                replies.setdefault(b, []).append(found)
+        out += [(b, packed(*[np.concatenate(x) for x in zip(*found, strict=True)], np.zeros(0, np.uint64))) for b, found in replies.items()]
         return replied(out)
 
     def remove(block: int, rows: pa.RecordBatch, payloads: list[bytes]) -> pa.Table:

@@ -123,7 +123,7 @@ def test_bytes_decide_where_hashes_are_equal(monkeypatch):
     monkeypatch.setattr(suffixes, "keys", lambda sums, start, stop, shift, group: np.zeros(len(start), np.uint64))
     one, other = b"a" * 60, b"b" * 60
     sent = [(b, np.array([7], np.uint64), np.array([b]), np.array([60], np.uint8), np.array([b], np.int32), np.frombuffer(t, np.uint8)) for b, t in enumerate([one, other, other, one])]
-    got = {b: suffixes.unpacked(p, np.int32, np.int64, np.uint8, np.uint64) for b, p in suffixes.compared(sent)}
+    got = {b: x for b, *x in suffixes.compared(sent)}
     assert {b: (list(x[0]), list(x[1]), list(x[2])) for b, x in got.items()} == {2: ([2], [1] * 11, [11]), 3: ([3], [0] * 11, [11])}
 
 
