@@ -44,11 +44,12 @@ class Engine:
     """Runs queries over the tables of ``base`` (a folder of parquet or CSV files), views and registered DataFrames.
 
     Switches: ``between_inclusive``, ``left_assoc`` (arithmetic groups to the left), ``like_regex`` (other marks of regular
-    expressions are live in patterns; on unless switched off) and ``password`` for encrypt and decrypt.
+    expressions are live in patterns; on unless switched off) and ``password`` for encrypt and decrypt. ``multiline`` says whether
+    quoted cells of CSV files hold line ends; without it the files' lines are looked at.
     """
 
-    def __init__(self, spark: SparkSession, base: str | None = None, **switches):
-        self.spark, self.catalog, self.switches = spark, Catalog(spark, base), Switches(**switches)
+    def __init__(self, spark: SparkSession, base: str | None = None, multiline: bool | None = None, **switches):
+        self.spark, self.catalog, self.switches = spark, Catalog(spark, base, multiline), Switches(**switches)
         self.history: list[str] = []
         self.tag = f"tabq-{uuid.uuid4().hex}"
 

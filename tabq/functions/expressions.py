@@ -346,7 +346,7 @@ def predicate(p: Pred, scope: Scope, top: bool = False) -> Column:
     if isinstance(p, Not):
         return ~predicate(p.of, scope)
     if isinstance(p, Chain):
-        keep = top and p.op == "and"
+        keep = top and p.op != "xor"  # under "or" too, null or true is true and null or false is not
         a, b = predicate(p.left, scope, keep), predicate(p.right, scope, keep)
         return a & b if p.op == "and" else a | b if p.op == "or" else a != b
     parts = operands(p, scope)

@@ -18,7 +18,7 @@ from lineitem where l_shipdate < '1998-09-02' group by l_returnflag l_linestatus
 #: name: (query, SQL). Float sums and means depend on the order of additions, so both sides round them in `ROUNDED`.
 PAIRS: dict[str, tuple[str, str]] = {
     "flagship": (FLAGSHIP, "select l_returnflag, l_linestatus, count(*)::double as n, round(sum(l_quantity), 4) as qty, round(avg(l_extendedprice), 4) as price from lineitem where l_shipdate < '1998-09-02' group by all"),
-    "scan_star_limit": ("select top 10 * from region", "select r_regionkey::bigint as r_regionkey, r_name from region"),
+    "scan_star_limit": ("select top 3 * from region order by r_regionkey", "select r_regionkey::bigint as r_regionkey, r_name from region order by r_regionkey desc limit 3"),
     "scan_empty_select": ("select from nation", "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation"),
     "project_no_commas": ("select c_custkey c_name, c_acctbal from customer", "select c_custkey, c_name, c_acctbal from customer"),
     "project_alias": ("select l_orderkey l_linenumber rev = l_extendedprice*(1-l_discount) l_tax as tax from lineitem", "select l_orderkey, l_linenumber::bigint as l_linenumber, l_extendedprice*(1-l_discount) as rev, l_tax as tax from lineitem"),
@@ -76,6 +76,10 @@ PAIRS: dict[str, tuple[str, str]] = {
     "distinct_aggregate": ("select distinct hidden o_custkey n = count(*) total = sum(o_orderkey) from orders", "select count(*)::double as n, sum(k)::bigint as total from (select min(o_orderkey) as k from orders group by o_custkey)"),
     "order_desc": ("select top 20 c_custkey c_acctbal from customer order by c_custkey", "select c_custkey, c_acctbal from customer order by c_custkey desc limit 20"),
     "order_asc_limit": ("select c_custkey from customer order by c_custkey asc limit 15", "select c_custkey from customer order by c_custkey limit 15"),
+    "order_numbered": ("select v = case when p_size > 25 then p_size end n = inc() from part order by case when p_size > 25 then p_size end", "select case when p_size > 25 then p_size::bigint end as v, row_number() over (order by case when p_size > 25 then p_size end desc nulls last)::double as n from part"),
+    "order_asc_numbered": ("select p_size n = inc() from part order by p_size asc", "select p_size::bigint as p_size, row_number() over (order by p_size)::double as n from part"),
+    "where_or_pushed": ("select o_orderkey from orders where o_totalprice > 200000 or o_orderkey < 5", "select o_orderkey from orders where o_totalprice > 200000 or o_orderkey < 5"),
+    "distinct_null": ("select distinct v = case when p_size > 25 then p_size end from part", "select distinct case when p_size > 25 then p_size::bigint end as v from part"),
     "order_nulls": ("select p_partkey v = case when p_size > 25 then p_partkey end from part order by case when p_size > 25 then p_partkey end * 1", "select p_partkey, case when p_size > 25 then p_partkey end as v from part"),
     "inner_join": ("select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey = c.c_custkey", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey"),
     "left_join": ("select c.c_custkey, o.o_orderkey from customer c left join orders o on c.c_custkey = o.o_custkey", "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey"),
@@ -130,7 +134,9 @@ def _folder(spark: SparkSession) -> str:
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{root.rstrip('/')}/tabq-csv-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="tabq-csv-")
 
 

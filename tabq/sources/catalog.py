@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ class Table:
         try:
             order = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), here.alias("i"))
             df = self.df.select("*", order.alias(self.rowid))
-        except Exception:  # only files have that metadata
+        except AnalysisException:  # only files have that metadata
             df = self.df.select("*", here.alias(self.rowid))
         return Table(df, self.names, self.types, self.raw, self.keys, self.prefix, self.size)
 
@@ -58,8 +59,8 @@ def native(col: Column, kind: int) -> Column:
 class Catalog:
     """Finds tables: registered names first, then temporary views, then files below ``base`` or at the path itself."""
 
-    def __init__(self, spark: SparkSession, base: str | None = None):
-        self.spark, self.base, self.registered = spark, base, {}
+    def __init__(self, spark: SparkSession, base: str | None = None, multiline: bool | None = None):
+        self.spark, self.base, self.multiline, self.registered = spark, base, multiline, {}
 
     def register(self, name: str, df: DataFrame) -> None:
         self.registered[name.lower()] = df
@@ -103,19 +104,26 @@ class Catalog:
         return Table(renamed, names, kinds, False, keys, prefix)
 
     def _csv(self, path: str, header: bool, keys: set[str], prefix: str) -> Table:
-        df = self.spark.read.csv(path, header=False, inferSchema=False, quote='"', escape='"', multiLine=True, mode="PERMISSIVE")
+        multiline = self._broken_lines(path) if self.multiline is None else self.multiline
+        df = self.spark.read.csv(path, header=False, inferSchema=False, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE")
         first = df.first()
         if first is None:
             raise QueryError(f"{path!r} is empty")
         width = len(df.columns)
         names = [(x or "").strip() for x in first] if header else [f"col{i + 1}" for i in range(width)]
         schema = ", ".join(f"{prefix}{i} string" for i in range(width))
-        df = self.spark.read.csv(path, header=header, schema=schema, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", enforceSchema=True)
+        df = self.spark.read.csv(path, header=header, schema=schema, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE", enforceSchema=True)
         kinds = [t.NULL] * width
         for row in df.limit(SAMPLE_ROWS).collect():
             kinds = [max(k, t.infer(x)) for k, x in zip(kinds, row, strict=True)]
         return Table(df, names, kinds, True, keys, prefix)
 
+    def _broken_lines(self, path: str) -> bool:
+        """Whether a line of a CSV file ends inside quotes. Only then must the file be read in one piece; any other is split among
+        tasks. All lines are looked at, up to the first such one."""
+        marks = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        return not self.spark.read.text(path).where(marks % 2 == 1).isEmpty()
+
     def list(self, folder: str) -> tuple[list[str], list[str]]:
         """Sub-folders and CSV or parquet files of a folder; names with a leading dot are left out."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(folder)

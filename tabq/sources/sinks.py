@@ -49,6 +49,14 @@ def save_csv(results: list[Result], path: str) -> list[str]:
     return paths
 
 
+def save_folders(results: list[Result], path: str) -> list[str]:
+    """A folder for each result, numbered if there are several; see :func:`save_folder`."""
+    paths = [f"{path.rstrip('/')}-{i}" if len(results) > 1 else path for i in range(1, len(results) + 1)]
+    for p, r in zip(paths, results, strict=True):
+        save_folder(r, p)
+    return paths
+
+
 def save_folder(result: Result, path: str) -> None:
     """A folder of CSV parts with headers, written by the executors: for results that no single machine should write."""
     result.as_text().toDF(*result.names).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
@@ -61,7 +69,8 @@ def as_json(results: list[Result], query: str = "") -> str:
     entries = []
     for r in results:
         text = r.as_text().toDF(*[f"v{i}" for i in range(len(r.names))])
-        shown = text.limit(max(1, DISPLAY_CELLS // max(1, len(r.names)))).collect()
-        total = r.df.count()
+        most = max(1, DISPLAY_CELLS // max(1, len(r.names)))
+        shown = text.limit(most).collect()
+        total = len(shown) if len(shown) < most else r.df.count()
         entries.append({"Query": r.query, "Numrows": total, "Numcols": len(r.names), "Colnames": r.names, "Types": [NAMES[k] for k in r.types], "Vals": [["" if x is None else x for x in row] for row in shown], "Clipped": total > len(shown)})
     return json.dumps({"Entries": entries, "OriginalQuery": query, "Clipped": any(e["Clipped"] for e in entries), "Message": "; ".join(n for r in results for n in r.notes)})

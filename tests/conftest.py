@@ -1,6 +1,5 @@
 import csv
 import os
-import random
 
 import pytest
 from pyspark.sql import SparkSession
@@ -32,37 +31,15 @@ def sf_dir():
 
 @pytest.fixture(scope="session")
 def folder(tmp_path_factory):
-    """CSV files: a wide table of traffic tickets, two tables without header, and small ones for single rules."""
+    """CSV files: a garden, two tables without header, and small ones for single rules."""
     where = tmp_path_factory.mktemp("csv")
 
     def write(name, rows):
         with open(where / name, "w", newline="") as f:
             csv.writer(f).writerows(rows)
 
-    rng = random.Random(5)
-    names = [f"name{i}" for i in range(1, 44)]
-    names[6] = "Issue Date"
-    rows = [names]
-    for i in range(60):
-        row = [f"v{rng.randint(0, 9)}" for _ in names]
-        row[0] = "" if i % 7 == 0 else f"{rng.randint(10, 40)}.32"
-        row[1] = "" if i % 5 == 0 else f"{rng.randint(60, 90)}.12"
-        row[2] = str(4_006_265_000 + i)
-        row[3] = rng.choice(["GZH7067", "FZX9232", "ABC1"])
-        row[4] = rng.choice(["NY", "NJ", "MA", "VA", "FL"])
-        row[5] = rng.choice(["COM", "OMT", "PAS"])
-        row[6] = f"{rng.randint(1, 12)}/{rng.randint(1, 28)}/{rng.choice([2016, 2017])}"
-        row[7] = str(rng.choice([5, 7, 36, 40, 47, 69, 321]))
-        row[9] = rng.choice(["TOYOT", "FORD", "BMW"])
-        for k in (11, 12, 13, 16, 18, 37, 39):
-            row[k] = str(rng.randint(0, 20))
-        for k in (31, 32):
-            row[k] = "" if rng.random() < 0.5 else str(rng.randint(0, 5))
-        row[36] = "" if i % 3 == 0 else str(rng.randint(0, 20))
-        row[25] = "" if i % 2 else "x"
-        row[41] = "" if i % 4 else "y"
-        rows.append(row)
-    write("tickets.csv", rows)
+    write("herbs.csv", [["herb", "bed", "cm", "sown on", "place", "jars"], ["basil", 1, 30.5, "2021-03-04", "pot", 12], ["mint", 2, 45.0, "2020-07-19", "", 7], ["sage", 1, 60.25, "2019-11-30", "shade", ""], ["dill", 3, 80.5, "2021-03-20", "row", 5], ["thyme", 2, 20.5, "2022-01-01", "pot", 7]])
+    write("beds.csv", [["bed", "soil"], [1, "loam"], [2, "clay"], [4, "sand"]])
     write("cities.csv", [[f"city{i}", i, f"k{i % 4}", "x", i * 10] for i in range(12)])
     write("country.csv", [[f"k{i}", f"country{i}"] for i in range(3)])
     write("types.csv", [["zero", "na", "blank", "gap", "span", "day", "long", "mixed", "num"], ["007", "NA", "", "1h30m", "3 weeks", "6/1/2017", "May 18 1955", "1", "1.5"], ["012", "5", "null", "90s", "1 year", "2017-06-02", "June 1 2017", "2.5", "-2"]])

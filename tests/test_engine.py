@@ -120,7 +120,7 @@ def test_csv_files(spark, folder):
     assert rows(spark, f"nh select top 1 col1 c2 from '{folder}/cities.csv'") == [("city0", 0)]
     assert rows(spark, f"select count(*) from '{folder}/cities.csv' noheader") == [(12.0,)]
     assert rows(spark, f"select a c1 c3 from '{folder}/dupnames.csv'") == [(1, 1, 3)]
-    assert rows(spark, "select w from tickets where 1 = 2", base=folder) == []
+    assert rows(spark, "select w from herbs where 1 = 2", base=folder) == []
 
 
 def test_joins(spark, folder):
