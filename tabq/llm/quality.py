@@ -2,8 +2,8 @@
 
 Every document gets a few integer metrics. Their distribution per language and source is kept as a log-linear quantile
 sketch: counts by bucket, whose width is a 64th of the value, so that quantiles are off by under 2 % and sketches merge
-by adding counts, in any order, with the same result. Thresholds come from the sketches; the documents are joined with
-the thresholds of their group.
+by adding counts, in any order, with the same result. Thresholds come from the sketches alone: there are no fixed cutoffs
+beside them. The documents are joined with the thresholds of their group.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from .common import SPACE, WORD, cut, join_small, null_key, table, word_count
 
 WINDOW = 5
-#: The metrics that get adaptive upper thresholds, and the least threshold of each.
-FLOORS = {"symbols_pm": 100, "dup_lines_pm": 300, "repeats_pm": 100, "word_len_c": 1500}
-#: A group's own quantiles count from so many documents on; smaller ones take their language's, then all documents'.
-MIN_DOCS = 200
+#: The metrics that get adaptive thresholds, and on which sides.
+METRICS = {"symbols_pm": "max", "dup_lines_pm": "max", "repeats_pm": "max", "word_len_c": "both"}
+#: A group's quantiles are means of its own, its language's and all documents': the latter two weigh as many documents each.
+POOL = 50
+#: Hundredths that are read from a sketch.
+QUANTILES = (1, 10, 90, 99)
 
 
 def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -71,36 +73,42 @@ def rates(m: DataFrame) -> DataFrame:
 
 def sketches(m: DataFrame) -> DataFrame:
     """``lang_key, source_key, metric, bucket, n``: add up ``n`` to merge."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bucket(F.col(k)).alias("bucket")) for k in FLOORS]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bucket(F.col(k)).alias("bucket")) for k in METRICS]))
     return m.select("lang_key", "source_key", pairs.alias("p")).groupBy("lang_key", "source_key", "p.metric", "p.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Per group and metric: ``docs, q25, q75`` read from the merged sketch."""
+    """Per group and metric: ``docs`` and a ``q`` for each of :data:`QUANTILES`, read from the merged sketch."""
     merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "metric")
     run = merged.withColumns({"up": F.sum("n").over(group.orderBy("bucket")), "docs": F.sum("n").over(group)})
-    at = lambda num, den: F.min(F.when(F.col("up") * den >= F.col("docs") * num, F.col("bucket")))
-    return run.groupBy(*by, "metric").agg(F.max("docs").alias("docs"), bucket_top(at(1, 4)).alias("q25"), bucket_top(at(3, 4)).alias("q75"))
+    at = lambda k: F.min(F.when(F.col("up") * 100 >= F.col("docs") * k, F.col("bucket")))
+    return run.groupBy(*by, "metric").agg(F.max("docs").alias("docs"), *[bucket_top(at(k)).alias(f"q{k}") for k in QUANTILES])
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """Per language and source, a column of the largest allowed value of each metric: the upper quartile and three times
-    the quartiles' distance, or the metric's floor if that is more."""
-    own, lang, every = quantiles(sketch, ["lang_key", "source_key"]), quantiles(sketch, ["lang_key"]), quantiles(sketch, [])
-    named = lambda df, n: df.select(*[c for c in df.columns if c not in ("docs", "q25", "q75")], F.struct("docs", "q25", "q75").alias(n))
-    all_ = named(own, "own").join(named(lang, "by_lang"), ["lang_key", "metric"]).join(named(every, "every"), "metric")
-    q = F.when(F.col("own.docs") >= MIN_DOCS, F.col("own")).when(F.col("by_lang.docs") >= MIN_DOCS, F.col("by_lang")).otherwise(F.col("every"))
-    floor = F.element_at(F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv]), F.col("metric"))
-    top = F.greatest(q["q75"] + 3 * (q["q75"] - q["q25"]), floor).cast("long")
-    return all_.groupBy("lang_key", "source_key").agg(*[F.max(F.when(F.col("metric") == k, top)).alias(f"max_{k}") for k in FLOORS])
+    """Per language and source, the columns ``max_<metric>`` and ``min_<metric>``.
+
+    The body of a group's values lies between its quantiles at 10 and 90 %. Allowed is what is above that by three times its
+    width at most, or, where the body has less width than the tail, by three quarters of what is between 90 and 99 %; and the same
+    below. Quantiles are pooled (:data:`POOL`), so a small group's move smoothly to its own as it grows.
+    """
+    own = quantiles(sketch, ["lang_key", "source_key"])
+    for by, name in ((["lang_key", "metric"], "lang"), (["metric"], "every")):
+        level = quantiles(sketch, by[:-1])
+        own = own.join(level.select(*by, F.struct(*[f"q{k}" for k in QUANTILES]).alias(name)), by)
+    for k in QUANTILES:
+        own = own.withColumn(f"q{k}", F.expr(f"(docs * q{k} + {POOL} * lang.q{k} + {POOL} * every.q{k}) div (docs + {2 * POOL})"))
+    limits = own.withColumns({"max": F.expr("q90 + 3 * greatest(4 * (q90 - q10), q99 - q90) div 4"), "min": F.expr("q10 - 3 * greatest(4 * (q90 - q10), q10 - q1) div 4")})
+    sides = [(k, side) for k, which in METRICS.items() for side in ("max", "min") if which in (side, "both")]
+    return limits.groupBy("lang_key", "source_key").agg(*[F.max(F.when(F.col("metric") == k, F.col(side))).alias(f"{side}_{k}") for k, side in sides])
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """``docs (doc_id, text, lang, source)`` with metrics, ``base_failed`` and ``kept``, one row per row.
 
     ``base_failed``: under 10 words, or over 20 % of the words in repeated 5-word windows. ``kept``: not base_failed and
-    no metric above its group's threshold. Null languages and sources are groups of their own; null, empty and
+    no metric outside its group's thresholds, which are those of all rows of the group that are not base_failed. Null languages and sources are groups of their own; null, empty and
     blank texts have no words and fail. Repeated rows get one verdict each. No rows in, no rows out.
     """
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -113,8 +121,10 @@ def judge(docs: DataFrame) -> DataFrame:
     limits = cut(thresholds(cut(sketches(m.where(~F.col("base_failed"))))))
     held = join_small(m, limits, ["lang_key", "source_key"], salt=F.col("doc_id"))
     fine = ~F.col("base_failed")
-    for k in FLOORS:
+    for k, side in METRICS.items():
         fine = fine & F.coalesce(F.col(k) <= F.col(f"max_{k}"), F.lit(True))
+        if side == "both":
+            fine = fine & F.coalesce(F.col(k) >= F.col(f"min_{k}"), F.lit(True))
     return held.withColumn("kept", fine)
 
 
@@ -123,6 +133,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _pooled(k: int) -> str:
+    """SQL for a pooled quantile: of n sorted buckets the one that k hundredths reach, and the largest value in it."""
+    nth = lambda t: f"{t}.l[({t}.n * {k} + 99) // 100]"
+    top = lambda b: f"CASE WHEN {b} < 128 THEN {b} ELSE (({b} % 64 + 65)::BIGINT << ({b} // 64 - 1)::INT) - 1 END"
+    return f"(q.n * ({top(nth('q'))}) + {POOL} * ({top(nth('ql'))}) + {POOL} * ({top(nth('qe'))})) // (q.n + {2 * POOL}) AS q{k}"
+
+
 _METRICS = "['symbols_pm', 'dup_lines_pm', 'repeats_pm', 'word_len_c']"
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('0' || lang, '1') AS lk, coalesce('0' || source, '1') AS sk FROM documents),
@@ -138,16 +155,12 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
         [1000 * n_symbols // greatest(word_chars, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), 100 * word_chars // greatest(n_words, 1)] AS v FROM m),
 p AS (SELECT lk, sk, unnest({_METRICS}) AS metric, unnest(v) AS x FROM b WHERE NOT base_failed),
 s AS (SELECT lk, sk, metric, e * 64 + (x >> e) AS bk FROM (SELECT *, greatest(length(bin(x)) - 7, 0)::INT AS e FROM p)),
-q AS (SELECT lk, sk, metric, count(*) AS n, quantile_disc(bk, 0.25) AS a, quantile_disc(bk, 0.75) AS z FROM s GROUP BY ALL),
-ql AS (SELECT lk, metric, count(*) AS n, quantile_disc(bk, 0.25) AS a, quantile_disc(bk, 0.75) AS z FROM s GROUP BY ALL),
-qe AS (SELECT metric, count(*) AS n, quantile_disc(bk, 0.25) AS a, quantile_disc(bk, 0.75) AS z FROM s GROUP BY ALL),
-pick AS (SELECT q.lk, q.sk, q.metric, CASE WHEN q.n >= {MIN_DOCS} THEN q.a WHEN ql.n >= {MIN_DOCS} THEN ql.a ELSE qe.a END AS a,
-           CASE WHEN q.n >= {MIN_DOCS} THEN q.z WHEN ql.n >= {MIN_DOCS} THEN ql.z ELSE qe.z END AS z
-         FROM q JOIN ql USING (lk, metric) JOIN qe USING (metric)),
-tops AS (SELECT lk, sk, metric, ((a - ea * 64 + 1)::BIGINT << ea) - 1 AS q25, ((z - ez * 64 + 1)::BIGINT << ez) - 1 AS q75
-         FROM (SELECT *, greatest(floor((a - 64) / 64), 0)::INT AS ea, greatest(floor((z - 64) / 64), 0)::INT AS ez FROM pick)),
-lim AS (SELECT lk, sk, metric, greatest(q75 + 3 * (q75 - q25), CASE metric WHEN 'symbols_pm' THEN {FLOORS["symbols_pm"]} WHEN 'dup_lines_pm' THEN {FLOORS["dup_lines_pm"]} WHEN 'repeats_pm' THEN {FLOORS["repeats_pm"]} ELSE {FLOORS["word_len_c"]} END) AS top FROM tops),
-over AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, lk, sk, unnest({_METRICS}) AS metric, unnest(v) AS x FROM b WHERE NOT base_failed) JOIN lim USING (lk, sk, metric) WHERE x > top)
+q AS (SELECT lk, sk, metric, count(*) AS n, list_sort(list(bk)) AS l FROM s GROUP BY ALL),
+ql AS (SELECT lk, metric, count(*) AS n, list_sort(list(bk)) AS l FROM s GROUP BY ALL),
+qe AS (SELECT metric, count(*) AS n, list_sort(list(bk)) AS l FROM s GROUP BY ALL),
+pooled AS (SELECT q.lk, q.sk, q.metric, {", ".join(_pooled(k) for k in QUANTILES)} FROM q JOIN ql USING (lk, metric) JOIN qe USING (metric)),
+lim AS (SELECT lk, sk, metric, q90 + 3 * greatest(4 * (q90 - q10), q99 - q90) // 4 AS top, CASE metric WHEN 'word_len_c' THEN q10 - 3 * greatest(4 * (q90 - q10), q10 - q1) // 4 ELSE 0 END AS low FROM pooled),
+over AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, lk, sk, unnest({_METRICS}) AS metric, unnest(v) AS x FROM b WHERE NOT base_failed) JOIN lim USING (lk, sk, metric) WHERE x > top OR x < low)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND over.doc_id IS NULL AS kept
 FROM b LEFT JOIN over USING (doc_id)
 """

@@ -355,6 +355,50 @@ def test_quality_metrics(make, edge_rows):
     assert quality.judge(make([])).count() == 0
 
 
+def plain_limits(values, groups):
+    """Of each group (language, source): the least and largest allowed value, from sorted values."""
+
+    def body(some):
+        some = sorted(some)
+        return [some[-(-len(some) * k // 100) - 1] for k in (1, 10, 90, 99)]
+
+    every, out = body(values), {}
+    for g in set(groups):
+        own = [v for v, x in zip(values, groups, strict=True) if x == g]
+        lang = body([v for v, x in zip(values, groups, strict=True) if x[0] == g[0]])
+        n = len(own)
+        q1, q10, q90, q99 = ((n * a + 50 * b + 50 * c) // (n + 100) for a, b, c in zip(body(own), lang, every, strict=True))
+        out[g] = (q10 - 3 * max(4 * (q90 - q10), q10 - q1) // 4, q90 + 3 * max(4 * (q90 - q10), q99 - q90) // 4)
+    return out
+
+
+def test_thresholds_are_those_of_each_group(spark):
+    """Mean word lengths under 1.28, for which sketches are exact: plain quantiles give the same limits, and they differ by group."""
+    rng = np.random.default_rng(4)
+    rows = [(i, ("en", "de")[i % 2], f"s{i % 6}", 100 + int(rng.integers(0, 3 + 4 * (i % 6))) + 9 * (i % 200 == 0)) for i in range(1200)]
+    m = spark.createDataFrame(rows, "doc_id long, lang_key string, source_key string, word_len_c long")
+    m = m.withColumns({k: F.lit(0).cast("long") for k in quality.METRICS if k != "word_len_c"})
+    got = {(r.lang_key, r.source_key): (r.min_word_len_c, r.max_word_len_c) for r in quality.thresholds(quality.sketches(m)).collect()}
+    assert got == plain_limits([r[3] for r in rows], [r[1:3] for r in rows])
+    assert len(set(got.values())) > 3
+
+
+def test_what_is_odd_depends_on_the_group(spark):
+    """A text full of signs falls among prose and stays among formulas; the same holds for very short and long words."""
+    prose, signs = "a word and then another one so that it is long enough", "a + b | c & d < e > f $ g % h # i * j | k & l"
+    long = "internationalisation " * 3 + "counterrevolutionaries antidisestablishment overgeneralisations institutionalising compartmentalised disproportionately interchangeability notwithstanding"
+    rows = []
+    for i in range(400):
+        rows.append((i, f"{prose} {i}", "en", "prose"))
+        rows.append((1000 + i, f"{signs} {i}", "en", "formulas"))
+        rows.append((2000 + i, f"{long} x{i}", "de", "law"))
+    rows += [(5000, f"{signs} 5", "en", "prose"), (5001, f"{signs} 5", "en", "formulas"), (5002, f"{long} 5", "en", "prose"), (5003, f"{long} 5", "de", "law"), (5004, f"{prose} 5", "de", "law")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
+    assert {i: kept[i] for i in range(5000, 5005)} == {5000: False, 5001: True, 5002: False, 5003: True, 5004: False}
+    assert sum(not v for i, v in kept.items() if i < 5000) == 0
+
+
 def test_sketch_buckets(spark):
     values = [0, 1, 127, 128, 129, 1000, 65_535, 65_536, 10**9, 2**40 + 12345]
     df = spark.createDataFrame([(v,) for v in values], "v long").withColumn("b", quality.bucket(F.col("v"))).withColumn("top", quality.bucket_top(F.col("b")))
