@@ -17,9 +17,12 @@ BROADCAST_ROWS = 100_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, where that is unset, a folder of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. A local session without it gets a folder of its own; on a
+    cluster that would be a folder of the driver's, which executors cannot see, so there it must be set."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tabq-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:

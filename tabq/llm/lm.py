@@ -112,7 +112,7 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     ``wanted (doc_id)`` says which documents the target model is counted on. All documents count for the background model
     and the vocabulary; words are lower-cased (A-Z). Losses are mean natural logs per word; a text without words has none
-    (null). A null id is never wanted; repeated rows count each time. Other columns play no part, no rows give none.
+    (null). A null id is never wanted, and such rows are dealt out by their text; repeated rows count each time. Other columns play no part, no rows give none.
     """
     text, doc_id = text_of(docs), docs["doc_id"].cast("long")
     counted = docs.select(doc_id.alias("doc_id"), F.octet_length(text).alias("size"), word_count(text).alias("n"))
@@ -121,7 +121,7 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     size, total, target = (x or 0 for x in row)
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int").alias("block")
-    blocks = docs.select(block(doc_id), doc_id.alias("doc_id"), text.alias("text"))
+    blocks = docs.select(block(F.coalesce(doc_id, F.xxhash64(text))), doc_id.alias("doc_id"), text.alias("text"))
 
     def listed(key: tuple, rows: pa.Table) -> pa.Table:
         return replied([(key[0].as_py(), bytes([0]) + np.sort(rows.column("doc_id").to_numpy()).tobytes())])

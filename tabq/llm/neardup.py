@@ -269,13 +269,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     whole sequence is the only one; without words or text the set is empty and linked with nothing. Two documents are
     linked when their sets' similarity is ``percent`` or more. ``component_id`` is the smallest doc_id that can be
     reached, ``kept`` says whether that is the document itself. Equal sets are one node from the start. Rows that repeat an id
-    are one document; rows with a null id are linked with nothing and kept. Other columns play no part, no rows give none.
+    are one document, linked with whatever any of their texts is similar to; rows with a null id are linked with nothing and kept. Other columns play no part, no rows give none.
     """
     small_batches(docs.sparkSession)
     all_ = cut(described(docs, shingle))
     full = all_.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    nodes = cut(full.join(classes, "digest").where("doc_id = rep").select("doc_id", "signature").dropDuplicates(["doc_id"]))
+    nodes = cut(full.join(classes, "digest").where("doc_id = rep").dropDuplicates(["doc_id", "digest"]).select("doc_id", "signature"))
     clusters = components(candidates(nodes))
     sizes = clusters.groupBy(F.col("root").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
     sizes = cut(sizes.select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
@@ -291,7 +291,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     members = texts.join(placed, "node").select("node", "cluster", "blocks", "block", "text").mapInArrow(sets, "node long, cluster long, blocks int, block int, shingles binary")
-    roots = components(exact_links(cut(members), percent))
+    links = exact_links(cut(members), percent)
+    several = cut(full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id"))
+    if not several.isEmpty():  # an id with several texts links their classes
+        reps = full.select("doc_id", "digest").join(several, "doc_id").join(classes, "digest").select("doc_id", "rep").distinct()
+        least = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        links = links.unionByName(reps.join(least, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b"))
+    roots = components(links)
     # Each class goes to its root, each document to its class.
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     spread = _classes_of(full.select("doc_id", "n_shingles", "digest"), cut(named))

@@ -97,14 +97,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = 4000, per_catego
     """A chain fitted on at most ``sample`` labelled documents, chosen by a hash of their ids.
 
     Per category, the ``per_category`` features whose rates differ most between its documents and the others (in
-    standard errors, over 4) become columns. Labels with a null id, quality or toxic are left out; of several labels of one
+    standard errors, over 4) become columns. Of several texts of one id the least counts. Labels with a null id, quality or toxic are left out; of several labels of one
     document the largest counts. Without labelled documents every probability is about 0.
     """
     names = list(CATEGORIES)
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(*[F.max(F.expr(f"int({e})")).alias(k) for k, e in CATEGORIES.items()])
     some = cut(one.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample))
     rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(some), "doc_id")  # at most `sample` rows are sent
-    rows = cut(rows.dropDuplicates(["doc_id"]))
+    rows = cut(rows.groupBy("doc_id", *names).agg(F.min("text").alias("text")))  # of a repeated id, always the same text
     sizes = rows.agg(F.count(F.lit(1)), *[F.sum(k) for k in names]).first()
     n, positive = sizes[0], [x or 0 for x in sizes[1:]]
 

@@ -71,6 +71,26 @@ def test_index_remembers(spark, make, tmp_path):
     assert again.rows().count() == 3 and again.add(make([])).count() == 0
 
 
+def test_index_knows_its_batches(spark, make, tmp_path):
+    index = exact.DigestIndex(spark, str(tmp_path / "batches"), buckets=2)
+
+    def answer(rows, batch=None):
+        return sorted(((r.doc_id, r.keep_id, r.kept) for r in index.add(make(rows), batch=batch).collect()), key=repr)
+
+    index.add(make([(20, "z")]), batch="one")  # the answer is lost
+    assert answer([(20, "z")], "one") == [(20, 20, True)]
+    assert answer([(30, "z"), (31, "y")], "two") == [(30, 20, False), (31, 31, True)]
+    assert answer([(20, "z")]) == [(20, 20, False)]
+    assert answer([(None, "n"), (None, "n")], "three") == [(None, None, True)] * 2
+    assert answer([(5, "n"), (6, "n"), (None, "n")], "four") == [(5, None, False), (6, None, False), (None, None, False)]
+    index._writing("broken")  # a driver is lost while it adds
+    with pytest.raises(RuntimeError):
+        index.add(make([(40, "q")]), batch="five")
+    assert answer([(41, "q")], "broken") == [(41, 41, True)] and answer([(40, "q")], "five") == [(40, 41, False)]
+    assert index.rows().count() == index.rows().select("digest").distinct().count()
+    index.close()
+
+
 def test_index_side_has_no_exchange(spark, make, tmp_path):
     index = exact.DigestIndex(spark, str(tmp_path / "plan"), buckets=4)
     index.add(make([(i, str(i)) for i in range(50)])).collect()
@@ -465,6 +485,14 @@ def test_near_duplicates(make, edge_rows, monkeypatch, block):
     assert got == plain_near(rows, 2)
 
 
+def test_an_id_with_several_texts_links_them(make):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (9, c), (8, b), (9, a + " z"), (7, c + " w")]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(make(order), shingle=2).collect()}
+        assert got == {(i, 1) for i in (1, 2, 3, 7, 8, 9)}
+
+
 def test_near_duplicates_of_nothing(make):
     assert neardup.near_duplicates(make([])).count() == 0
 
