@@ -22,7 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact.ORACLE,
+    "op2_suffix_array": suffixes.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op5_substrings": substrings.ORACLE,
     "op7_chat": chat.ORACLE,
     "op8_quality": quality.ORACLE,
+    "op10_minhash": neardup.ORACLE,
 }

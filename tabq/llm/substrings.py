@@ -103,3 +103,14 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+runs AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+again AS (SELECT run FROM runs GROUP BY run HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM runs JOIN again USING (run)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+per AS (SELECT each.doc_id, count(gone.k) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY each.k) FILTER (gone.k IS NULL), '') AS kept FROM each LEFT JOIN gone USING (doc_id, k) GROUP BY each.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN per USING (doc_id)
+"""

@@ -370,3 +370,18 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT doc_id, base, substr(h, 2 * base + 1, 2098) AS part FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 1000)) AS base FROM d)),
+runs AS (SELECT doc_id, base + j AS i, substr(part, 2 * j - 1, 100) AS run FROM (SELECT doc_id, base, part, unnest(range(1, least(1001, len(part) // 2 - 48))) AS j FROM parts)),
+firsts AS (SELECT run, min(doc_id) AS least FROM runs GROUP BY run HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, i FROM runs JOIN firsts USING (run) WHERE least < doc_id),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM hits),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS b FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY doc_id, g),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+per AS (SELECT doc_id, count(*) AS n_spans, sum(b - a + 1) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) AS head FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)
+"""
