@@ -334,6 +334,33 @@ def test_chain_on_held_out_documents(spark, make):
     assert toxicity.score(make([]), none).count() == 0
 
 
+def test_chain_is_fitted_link_by_link():
+    """Each link's model has no slope left on the features and the earlier links' out-of-fold probabilities, and predicts from them."""
+    rng = np.random.default_rng(6)
+    x = (rng.random((300, 5)) < 0.3).astype(float)
+    first = (rng.random(300) < 1 / (1 + np.exp(1 - 2 * x[:, 0]))).astype(float)
+    y = np.stack([first, (rng.random(300) < 0.1 + 0.6 * first).astype(float), (rng.random(300) < 0.2 + 0.5 * x[:, 1]).astype(float)], axis=1)
+    fold = np.arange(300) % toxicity.FOLDS
+    chain = toxicity.Chain.fit(list("abc"), {f"=w{c}": k for k, c in enumerate("abcde")}, x, y, fold)
+    seen = x
+    for k, model in enumerate(chain.models):
+        p = 1 / (1 + np.exp(-(seen @ model.weights + model.bias)))
+        assert np.abs(seen.T @ (y[:, k] - p) - model.weights).max() < 1e-4 and abs((y[:, k] - p).sum()) < 1e-4
+        out = np.zeros(300)
+        for f in range(toxicity.FOLDS):
+            own = toxicity.Linear.fit(seen[fold != f], y[fold != f, k])
+            assert np.abs(seen[fold != f].T @ (y[fold != f, k] - own.predict(seen[fold != f])) - own.weights).max() < 1e-4
+            out[fold == f] = own.predict(seen[fold == f])
+        seen = np.hstack([seen, out[:, None]])
+    got = chain.predict(["Wa wb", "", "we"])
+    for words, row in zip([(0, 1), (), (4,)], got, strict=True):
+        values = [float(k in words) for k in range(5)]
+        for model, p in zip(chain.models, row, strict=True):
+            z = model.bias + sum(w * v for w, v in zip(model.weights, values, strict=True))
+            assert p == pytest.approx(1 / (1 + np.exp(-z)))
+            values.append(p)
+
+
 # 7
 
 
@@ -444,6 +471,48 @@ def test_lm_scores(spark, make):
     assert lm.cross_entropy_difference(docs, labels.limit(0)).count() == 205
 
 
+def plain_losses(rows, wanted):
+    """Per document the mean losses of target and background, counted and divided one by one."""
+    said = [(i, WORD.findall((t or "").translate(LOWER))) for i, t in rows]
+    often = collections.Counter(w for _, ws in said for w in ws)
+    said = [(i, [w if often[w] >= lm.MIN_COUNT else 0 for w in ws]) for i, ws in said]
+
+    def counts(some):
+        one, two, n = collections.Counter(), collections.Counter(), 0
+        for ws in some:
+            one.update(ws)
+            one.update([1] * bool(ws))  # 1 stands for the beginning
+            two.update(zip([1, *ws], ws, strict=False))
+            n += len(ws)
+        return one, two, n
+
+    models = [counts([ws for i, ws in said if i in wanted]), counts([ws for _, ws in said])]
+    out = {}
+    for i, ws in said:
+        mine, losses = counts([ws]), []
+        for (one, two, n), has in zip(models, (i in wanted, True), strict=True):
+            total = 0.0
+            for a, w in zip([1, *ws], ws, strict=False):
+                own1, own2, own_a, own_n = (mine[0][w], mine[1][a, w], mine[0][a], mine[2]) if has else (0, 0, 0, 0)
+                p = (one[w] - own1 + lm.FLOOR_WEIGHT * lm.FLOOR) / (n - own_n + lm.FLOOR_WEIGHT)
+                p = (two[a, w] - own2 + lm.BACKOFF * p) / (one[a] - own_a + lm.BACKOFF)
+                total -= np.log(max(p, 1e-12))
+            losses.append(total / len(ws) if ws else None)
+        out[i] = (len(ws), *losses)
+    return out
+
+
+def test_lm_equals_a_plain_count(spark, sf_dir, small):
+    good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").collect()}
+    want = plain_losses(small, good)
+    got = {r.doc_id: r for r in QUERIES["op9_lm_scoring"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    for i, (n, target, background) in want.items():
+        assert got[i].n_words == n
+        if n:
+            assert (got[i].loss_target, got[i].loss_background) == pytest.approx((target, background), abs=1e-9)
+
+
 # 10
 
 
