@@ -111,7 +111,8 @@ class Block:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(start))[: len(first)] - 1
         at = at[first]
-        return start[first] + begin, start[last] + begin, h[at] >> self.drop << self.drop, at + begin, self.ids[doc[first]]
+        # The least of many hashes is a small number; spread again, anchors fill all buckets alike.
+        return start[first] + begin, start[last] + begin, mix(h[at]) >> self.drop << self.drop, at + begin, self.ids[doc[first]]
 
     def _keyed(self, start: np.ndarray, last: np.ndarray, anchor: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np.ndarray) -> Fragments:
         shift = at - start
