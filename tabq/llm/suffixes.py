@@ -132,10 +132,29 @@ class Block:
 
     def alike(self, f: Fragments) -> tuple[Fragments, np.ndarray]:
         """The fragments in an order that brings equal ones together, by document, and which of them are not the same as the one before."""
-        f = f.pick(np.lexsort((f.doc, f.key, f.anchor, f.group)))
+        f = f.pick(sorted_by(f.doc, f.key, f.anchor, f.group))
         return f, differing(self.data, f.start, f.last - f.start + WINDOW, f.group, f.anchor, f.key)
 
 
+def sorted_by(doc: np.ndarray, *keys_: np.ndarray) -> np.ndarray:
+    """Order by the last of ``keys_`` first and ``doc`` at the end. A key that is the next one again says nothing, nor do documents
+    that are in order already: sorting is stable."""
+    by = [k for k, after in zip(keys_, (*keys_[1:], None), strict=True) if after is None or not np.array_equal(k, after)]
+    if (doc[1:] < doc[:-1]).any():
+        by.insert(0, doc)
+    return np.lexsort(by)
+
+
+def runs_of(values: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal neighbours of one fragment (``windows`` of each) as values and lengths."""
+    n = windows.astype(np.int64)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[np.cumsum(n) - n] = True
+    at = np.flatnonzero(new)
+    return values[at], np.diff(np.append(at, len(values))).astype(np.uint8)
+
+
 def differing(data: np.ndarray, start: np.ndarray, n: np.ndarray, *same: np.ndarray) -> np.ndarray:
     """Which runs ``start, n`` of ``data`` are not the one before again. Only those are compared that agree in ``same``
     (hashes, which bring equal runs together); bytes decide."""
@@ -245,7 +264,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
         """Each anchor once, with the number of documents that have it."""
         f = Block(ordered(rows), bits).fragments()
-        order = np.lexsort((f.doc, f.anchor))
+        order = sorted_by(f.doc, f.anchor)
         a, d = f.anchor[order], f.doc[order]
         new, more = np.ones(len(a), bool), np.ones(len(a), bool)
         new[1:] = a[1:] != a[:-1]
@@ -298,7 +317,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         """Answers each block with those of its fragments of which a window is found in an earlier document than it sent."""
         owner = rows.column("block").to_pylist()
         got = [unpacked(p, np.uint64, np.int64, np.uint8, np.int32, np.uint8, np.uint64) for p in rows.column("payload").to_pylist()]
-        out = [(b, packed(g[0], g[1], g[2], g[5])) for b, g in zip(owner, got, strict=True) if not len(g[0])]
+        out = [(b, packed(g[0], g[1], g[2], g[2], g[5])) for b, g in zip(owner, got, strict=True) if not len(g[0])]
         pair = [(b, g) for b, g in zip(owner, got, strict=True) if len(g[0])]
         if not pair:
             return replied(out)
@@ -318,13 +337,15 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                     some.append((b, x[lo:hi], g[1][lo:hi], g[2][lo:hi], g[3][lo:hi], g[4][at[lo] : at[hi]]))
             for b, *found in compared(some) if some else []:
                 replies.setdefault(b, []).append(found)
-        out += [(b, packed(*[np.concatenate(x) for x in zip(*found, strict=True)], np.zeros(0, np.uint64))) for b, found in replies.items()]
+        for b, found in replies.items():
+            place, low, windows = (np.concatenate(x) for x in zip(*found, strict=True))
+            out.append((b, packed(place, *runs_of(low, windows), windows, np.zeros(0, np.uint64))))
         return replied(out)
 
     def remove(block: int, rows: pa.RecordBatch, payloads: list[bytes]) -> pa.Table:
         here = Block(rows, bits)
-        got = [unpacked(p, np.int32, np.int64, np.uint8, np.uint64) for p in payloads]
-        hot = np.unique(np.concatenate([g[3] for g in got])) if got else np.zeros(0, np.uint64)
+        got = [unpacked(p, np.int32, np.int64, np.uint8, np.uint8, np.uint64) for p in payloads]
+        hot = np.unique(np.concatenate([g[4] for g in got])) if got else np.zeros(0, np.uint64)
         f, new = here.alike(here.split_hot(here.fragments(), hot))
         windows = f.last - f.start + 1
         # What the block knows itself: equal fragments of its own documents.
@@ -334,7 +355,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         doc, least = np.repeat(f.doc, windows), np.repeat(f.doc[heads][number], windows)
         if got:
             aplace = np.concatenate([g[0] for g in got]).astype(np.int64)
-            alow, an = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got]).astype(np.int64)
+            alow = np.repeat(np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got]))
+            an = np.concatenate([g[3] for g in got]).astype(np.int64)
             abegin = np.cumsum(an) - an
             order = np.argsort(aplace)
             aplace, an, abegin = aplace[order], an[order], abegin[order]
