@@ -33,7 +33,7 @@ BLOCK_BYTES = 2 << 20
 #: How many equal hashes have their fragments' bytes compared in one go.
 PAIRS = 1 << 13
 #: How many bytes of fragments get their suffix arrays in one go.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 21
 #: Bytes of texts whose fragments are found in one go, and for which there is one bucket of fragments.
 SLICE_BYTES, BUCKET_BYTES = 1 << 18, 4 << 20
 NO_ID = np.iinfo(np.int64).min
@@ -187,6 +187,8 @@ def firsts(bytes_: np.ndarray, length: np.ndarray, windows: np.ndarray, doc: np.
         return out
     weight = np.add.reduceat(length + 1, heads[:-1])[several]
     several, weight = several[np.argsort(weight, kind="stable")], np.sort(weight)  # arrays of like size take like many steps
+    # The eight bytes from every place on, to compare windows by.
+    eights = np.ndarray(len(bytes_) - 7, np.uint64, bytes_, strides=(1,)).copy()
     done = 0
     while done < len(several):
         to = max(done + 1, int(np.searchsorted(np.cumsum(weight[done:]), AT_ONCE, "right")) + done)
@@ -209,11 +211,13 @@ def firsts(bytes_: np.ndarray, length: np.ndarray, windows: np.ndarray, doc: np.
         slot = ranges(first_window[f], windows[f])
         owner = np.repeat(doc[f], windows[f])
         order = np.argsort(rank[start])
-        at = start[order]
-        same = np.zeros(len(at), bool)
-        here = symbols.astype(np.uint16)[at[:, None] + np.arange(WINDOW)]
+        at = ranges(begin[f], windows[f])[order]
         of = np.repeat(np.arange(len(n)), np.add.reduceat(windows[f], ends - n))[order]
-        same[1:] = (here[1:] == here[:-1]).all(axis=1) & (of[1:] == of[:-1])
+        same = np.zeros(len(at), bool)
+        same[1:] = of[1:] == of[:-1]
+        for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+            part = eights[at + k]
+            same[1:] &= part[1:] == part[:-1]
         runs = np.flatnonzero(~same)
         low = np.minimum.reduceat(owner[order], runs)
         out[slot[order]] = np.repeat(low, np.diff(np.append(runs, len(at))))
