@@ -64,6 +64,17 @@ def keys(sums: np.ndarray, start: np.ndarray, stop: np.ndarray, shift: np.ndarra
     return mix(mix(between(sums, start, stop) + group) + (shift * 128 + (stop - start - WINDOW)).astype(np.uint64))
 
 
+def anchor_hash(sums: np.ndarray, at: np.ndarray, drop: np.uint64) -> np.ndarray:
+    """The anchors at these places. The least of many hashes is a small number; spread again, anchors fill all buckets alike."""
+    return mix(mix(between(sums, at, at + GRAM))) >> drop << drop
+
+
+def window_group(sums: np.ndarray, start: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """The groups of single windows, by their ends and their anchor."""
+    ends = mix(between(sums, start, start + ENDS)) + between(sums, start + WINDOW - ENDS, start + WINDOW)
+    return mix(mix(ends) + anchor)
+
+
 class Block:
     """A block's texts and their fragments."""
 
@@ -111,8 +122,7 @@ class Block:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(start))[: len(first)] - 1
         at = at[first]
-        # The least of many hashes is a small number; spread again, anchors fill all buckets alike.
-        return start[first] + begin, start[last] + begin, mix(h[at]) >> self.drop << self.drop, at + begin, self.ids[doc[first]]
+        return start[first] + begin, start[last] + begin, anchor_hash(self.sums, at + begin, self.drop), at + begin, self.ids[doc[first]]
 
     def _keyed(self, start: np.ndarray, last: np.ndarray, anchor: np.ndarray, at: np.ndarray, group: np.ndarray, doc: np.ndarray) -> Fragments:
         shift = at - start
@@ -122,9 +132,8 @@ class Block:
         """The windows of hot anchors' fragments, each a fragment of its own, grouped by its ends and place around the anchor."""
         start = ranges(f.start, f.last - f.start + 1)
         which = np.repeat(np.arange(len(f.start)), f.last - f.start + 1)
-        ends = mix(between(self.sums, start, start + ENDS)) + between(self.sums, start + WINDOW - ENDS, start + WINDOW)
-        group = mix(mix(ends) + f.anchor[which])
-        return self._keyed(start, start, f.anchor[which], start, group, f.doc[which])
+        anchor = f.anchor[which]
+        return self._keyed(start, start, anchor, (f.start + f.shift)[which], window_group(self.sums, start, anchor), f.doc[which])
 
     def split_hot(self, f: Fragments, hot: np.ndarray) -> Fragments:
         is_hot = is_in(f.anchor, hot)
@@ -132,7 +141,7 @@ class Block:
 
     def alike(self, f: Fragments) -> tuple[Fragments, np.ndarray]:
         """The fragments in an order that brings equal ones together, by document, and which of them are not the same as the one before."""
-        f = f.pick(sorted_by(f.doc, f.key, f.anchor, f.group))
+        f = f.pick(sorted_by(f.doc, f.key))
         return f, differing(self.data, f.start, f.last - f.start + WINDOW, f.group, f.anchor, f.key)
 
 
@@ -224,15 +233,12 @@ def firsts(bytes_: np.ndarray, length: np.ndarray, windows: np.ndarray, doc: np.
     return out
 
 
-def compared(pair: list[tuple]) -> list[tuple[int, bytes]]:
-    """Replies to some blocks' fragments: per block its number, and its fragments' groups, documents, lengths, places and bytes.
+def compared(group: np.ndarray, doc: np.ndarray, n: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of fragments (``data`` has the ``n`` bytes of each), those of which a window is found in an earlier document than theirs, the number
+    of their windows, and for each of these the smallest document.
 
     Fragments of the same bytes in one group count once in the suffix array, with the smallest document.
     """
-    owner = [p[0] for p in pair]
-    group, doc, n, place, data = (np.concatenate([p[i] for p in pair]) for i in range(1, 6))
-    out = []
-    n = n.astype(np.int64)
     begin = np.cumsum(n) - n
     key = keys(rolled(_TABLE[data]), begin, begin + n, np.zeros(len(n), np.int64), group)
     order = np.lexsort((doc, key, n, group))
@@ -244,13 +250,24 @@ def compared(pair: list[tuple]) -> list[tuple[int, bytes]]:
     least = firsts(data[ranges(begin[heads], n[heads])], n[heads], windows, doc[heads], group[heads])
     first_window = np.cumsum(windows) - windows
     lowest = np.minimum.reduceat(least, first_window)
-    cuts = np.cumsum([0, *[len(p[1]) for p in pair]])
-    for b, a, e in zip(owner, cuts[:-1], cuts[1:], strict=True):
-        mine = np.arange(a, e)[lowest[number[a:e]] < doc[a:e]]
-        if len(mine):
-            k = number[mine]
-            out.append((b, place[mine], least[ranges(first_window[k], windows[k])], windows[k].astype(np.uint8)))
-    return out
+    mine = np.flatnonzero(lowest[number] < doc)
+    k = number[mine]
+    return mine, windows[k], least[ranges(first_window[k], windows[k])]
+
+
+def groups_of(data: np.ndarray, begin: np.ndarray, n: np.ndarray, shift: np.ndarray, hot: np.ndarray, drop: np.uint64) -> np.ndarray:
+    """The groups of fragments, from their bytes, for some fragments at a time."""
+    group = np.empty(len(n), np.uint64)
+    i = 0
+    while i < len(n):
+        to = int(np.searchsorted(begin, begin[i] + AT_ONCE))
+        at = begin[i:to] - begin[i]
+        sums = rolled(_TABLE[data[begin[i] : begin[to - 1] + n[to - 1]]])
+        group[i:to] = anchor_hash(sums, at + shift[i:to], drop)
+        single = np.flatnonzero(hot[i:to])
+        group[i + single] = window_group(sums, at[single], group[i + single])
+        i = to
+    return group
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -307,11 +324,17 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         f, new = here.alike(f)
         f = f.pick(new)
 
+        bucket = bucket_of(f.group, n_fragments)
+        order = np.lexsort((f.start, bucket))
+        f, bucket = f.pick(order), bucket[order]
+        # The place of the anchor, from which the group follows, and whether it is hot.
+        shift = (f.shift + np.where(f.group != f.anchor, 128, 0)).astype(np.uint8)
+
         def pack(x: int, y: int) -> bytes:
             n = f.last[x:y] - f.start[x:y] + WINDOW
-            return packed(gaps(f.group[x:y]), f.doc[x:y], n.astype(np.uint8), f.start[x:y].astype(np.int32), here.data[ranges(f.start[x:y], n)], hot[:0])
+            return packed(gaps(f.start[x:y].astype(np.int32)), gaps(f.doc[x:y]), n.astype(np.uint8), shift[x:y], here.data[ranges(f.start[x:y], n)], hot[:0])
 
-        out = sent(bucket_of(f.group, n_fragments), n_fragments, block, pack)
+        out = sent(bucket, n_fragments, block, pack)
         if len(hot):  # to itself, by way of any bucket: what it has to cut into windows again
             note = packed(*[hot[:0]] * 5, hot)
             out = pa.concat_tables([out, pa.table({"bucket": pa.array([block % n_fragments], pa.int32()), "block": pa.array([block], pa.int32()), "payload": pa.array([note], pa.binary())})])
@@ -319,31 +342,37 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         """Answers each block with those of its fragments of which a window is found in an earlier document than it sent."""
-        owner = rows.column("block").to_pylist()
-        got = [unpacked(p, np.uint64, np.int64, np.uint8, np.int32, np.uint8, np.uint64) for p in rows.column("payload").to_pylist()]
-        out = [(b, packed(g[0], g[1], g[2], g[2], g[5])) for b, g in zip(owner, got, strict=True) if not len(g[0])]
-        pair = [(b, g) for b, g in zip(owner, got, strict=True) if len(g[0])]
-        if not pair:
+        owner = rows.column("block").to_numpy()
+        got = [unpacked(p, np.int32, np.int64, np.uint8, np.uint8, np.uint8, np.uint64) for p in rows.column("payload").to_pylist()]
+        out = [(int(b), packed(g[0], g[1], g[2], g[2], g[5])) for b, g in zip(owner, got, strict=True) if len(g[5])]
+        block = np.repeat(owner, [len(g[0]) for g in got])
+        if not len(block):
             return replied(out)
-        groups = [np.cumsum(g[0], dtype=np.uint64) for _, g in pair]
-        begins = [np.append(0, np.cumsum(g[2], dtype=np.int64)) for _, g in pair]
+        place, doc = (np.concatenate([np.cumsum(g[i], dtype=t) for g in got]) for i, t in ((0, np.int32), (1, np.int64)))
+        n, shift, data = (np.concatenate([g[i] for g in got]) for i in (2, 3, 4))
+        del got
+        n = n.astype(np.int64)
+        begin = np.cumsum(n) - n
+        group = groups_of(data, begin, n, (shift & 127).astype(np.int64), shift >= 128, np.uint64(64 - bits))
+        order = np.argsort(group, kind="stable")
         # Some groups at a time, as what is made of them is many times larger.
-        spread = np.sort(np.concatenate(groups))
-        parts = max(1, -(-sum(len(g[4]) for _, g in pair) // AT_ONCE))
-        cuts = spread[[k * len(spread) // parts for k in range(1, parts)]]
-        ends = [np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]).astype(np.int64) for x in groups]
-        replies: dict[int, list[tuple]] = {}
-        for k in range(parts):
-            some = []
-            for (b, g), x, e, at in zip(pair, groups, ends, begins, strict=True):
-                lo, hi = int(e[k]), int(e[k + 1])
-                if lo < hi:
-                    some.append((b, x[lo:hi], g[1][lo:hi], g[2][lo:hi], g[3][lo:hi], g[4][at[lo] : at[hi]]))
-            for b, *found in compared(some) if some else []:
-                replies.setdefault(b, []).append(found)
-        for b, found in replies.items():
-            place, low, windows = (np.concatenate(x) for x in zip(*found, strict=True))
-            out.append((b, packed(place, *runs_of(low, windows), windows, np.zeros(0, np.uint64))))
+        spread = group[order]
+        parts = max(1, -(-len(data) // AT_ONCE))
+        cuts = [0, *[int(np.searchsorted(spread, spread[k * len(spread) // parts])) for k in range(1, parts)], len(spread)]
+        found = []
+        for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < e:
+                some = np.sort(order[a:e])
+                mine, windows, low = compared(group[some], doc[some], n[some], data[ranges(begin[some], n[some])])
+                found.append((some[mine], windows, low))
+        which, windows, low = (np.concatenate(x) for x in zip(*found, strict=True))
+        start = np.cumsum(windows) - windows
+        by_block = np.lexsort((which, block[which]))
+        ends = np.append(np.flatnonzero(np.append(True, np.diff(block[which[by_block]]) != 0)) if len(which) else [], len(which)).astype(np.int64)
+        for a, e in zip(ends[:-1], ends[1:], strict=True):
+            k = by_block[a:e]
+            answer = low[ranges(start[k], windows[k])]
+            out.append((int(block[which[k[0]]]), packed(place[which[k]], *runs_of(answer, windows[k]), windows[k].astype(np.uint8), np.zeros(0, np.uint64))))
         return replied(out)
 
     def remove(block: int, rows: pa.RecordBatch, payloads: list[bytes]) -> pa.Table:
