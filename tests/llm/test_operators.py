@@ -142,9 +142,22 @@ def test_suffixes_of_nothing(make):
 def test_bytes_decide_where_hashes_are_equal(monkeypatch):
     monkeypatch.setattr(suffixes, "keys", lambda sums, start, stop, shift, group: np.zeros(len(start), np.uint64))
     one, other = b"a" * 60, b"b" * 60
-    sent = [(b, np.array([7], np.uint64), np.array([b]), np.array([60], np.uint8), np.array([b], np.int32), np.frombuffer(t, np.uint8)) for b, t in enumerate([one, other, other, one])]
-    got = {b: x for b, *x in suffixes.compared(sent)}
-    assert {b: (list(x[0]), list(x[1]), list(x[2])) for b, x in got.items()} == {2: ([2], [1] * 11, [11]), 3: ([3], [0] * 11, [11])}
+    data = np.frombuffer(one + other + other + one, np.uint8)
+    mine, windows, low = suffixes.compared(np.full(4, 7, np.uint64), np.arange(4), np.full(4, 60), data)
+    assert (list(mine), list(windows), list(low)) == ([2, 3], [11, 11], [1] * 11 + [0] * 11)
+
+
+@pytest.mark.parametrize("at_once", [100, 1 << 21])
+def test_groups_follow_from_the_bytes(small, monkeypatch, at_once):
+    monkeypatch.setattr(suffixes, "AT_ONCE", at_once)
+    texts = [t or "" for _, t in small[:20]]
+    block = suffixes.Block(pa.record_batch({"doc_id": pa.array(range(20)), "text": pa.array(texts, pa.large_string())}), 40)
+    f = block.fragments()
+    f = block.split_hot(f, np.unique(f.anchor[::3]))
+    hot, n = f.group != f.anchor, f.last - f.start + suffixes.WINDOW
+    assert 0 < hot.sum() < len(hot)
+    data = block.data[suffixes.ranges(f.start, n)]
+    assert list(suffixes.groups_of(data, np.cumsum(n) - n, n, f.shift, hot, np.uint64(24))) == list(f.group)
 
 
 def test_fragments_of_a_block_are_the_same_by_bytes():
